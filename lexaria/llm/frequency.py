@@ -101,12 +101,13 @@ def ngram_frequencies(sequences: DataFrame, id_col: str, tokens_col: str, *, max
     integral = isinstance(sequences.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     rid = F.col(id_col).cast("long") if integral else F.xxhash64(F.col(id_col))
     w = F.coalesce(F.col(weight_col), F.lit(0)).cast("long") if weight_col else F.lit(1).cast("long")
-    rows = sequences.where(F.col(id_col).isNotNull() & F.col(tokens_col).isNotNull()).select(rid.alias("rid"), F.array_compact(F.col(tokens_col)).alias("t"), w.alias("w"))
+    rows = sequences.where(F.col(id_col).isNotNull() & F.col(tokens_col).isNotNull()).select(rid.alias("rid"), F.col(tokens_col).alias("t"), w.alias("w"))
     if max_n == 1:
-        rows = rows.select(F.explode("t").alias("first"), "rid", "w")
+        # outer, so that no filter on the array moves below the caller's own shuffle and keeps it from being reused
+        rows = rows.select(F.explode_outer("t").alias("first"), "rid", "w").where("first IS NOT NULL")
     else:
         at = F.sequence(F.lit(1), F.size("t"))
-        rows = rows.where(F.size("t") > 0).select(F.explode(F.transform(at, lambda i: F.slice(F.col("t"), i, max_n))).alias("suffix"), "rid", "w").withColumn("first", F.col("suffix")[0])
+        rows = rows.withColumn("t", F.array_compact("t")).where(F.size("t") > 0).select(F.explode(F.transform(at, lambda i: F.slice(F.col("t"), i, max_n))).alias("suffix"), "rid", "w").withColumn("first", F.col("suffix")[0])
     spark = sequences.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salts = salts or parts

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lexaria.session import broadcast_if_small
 
@@ -14,7 +14,7 @@ from lexaria.session import broadcast_if_small
 MAX_ALIASES = 1_000_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def term_form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode form NFC, trimmed of spaces, in lower case; NULL stays NULL."""
     for s in parts:
@@ -29,10 +29,8 @@ def term_names(terminos: DataFrame) -> DataFrame:
 
 def canonical_terms(terminos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(canon, termino) with the smallest term_id of each term, and (alias, canon) for every other term_id."""
-    names = term_names(terminos)
-    terms = names.groupBy("termino").agg(F.min("term_id").alias("canon"))
-    aliases = names.join(terms, "termino").where("term_id <> canon").select(F.col("term_id").alias("alias"), "canon")
-    return terms.select("canon", "termino"), aliases
+    ranked = term_names(terminos).withColumn("canon", F.min("term_id").over(Window.partitionBy("termino")))
+    return ranked.where("term_id = canon").select("canon", "termino"), ranked.where("term_id <> canon").select(F.col("term_id").alias("alias"), "canon")
 
 
 def clean_postings(postings: DataFrame, terminos: DataFrame | None = None) -> DataFrame:

@@ -27,33 +27,30 @@ def p1_log_odds(spark: SparkSession, d: str) -> DataFrame:
     return distinctive_terms(counts, names, n, k=3, score="log_odds", min_df=2).select("doc_id", "termino", "tf", "score")
 
 
-def _term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+def _term_frequencies(clean: DataFrame) -> DataFrame:
     """(canon, cf, df) of every term, by suffix-sorted counting over the term of each posting."""
-    clean = clean_postings(table(spark, d, "postings"), table(spark, d, "terminos"))
     seq = term_doc_counts(clean).select("doc_id", F.array("canon").alias("t"), "tf")
     return ngram_frequencies(seq, "doc_id", "t", max_n=1, weight_col="tf").select(F.col("gram")[0].alias("canon"), "cf", "df")
 
 
-def _block_singletons(spark: SparkSession, d: str) -> DataFrame:
-    """(bloque, una_vez): terms whose frequency within the block is 1."""
-    clean = clean_postings(table(spark, d, "postings"), table(spark, d, "terminos"))
-    return clean.groupBy("bloque", "canon").agg(F.sum("freq").alias("f")).where("f = 1").groupBy("bloque").agg(F.count(F.lit(1)).alias("una_vez"))
-
-
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Published and true number of singletons of each published block."""
-    published = table(spark, d, "estadisticas").where("bloque IS NOT NULL").groupBy("bloque").agg(
+def _blocks(clean: DataFrame, published: DataFrame) -> DataFrame:
+    """Published and true number of terms whose frequency within the block is 1, for each published block."""
+    published = published.where("bloque IS NOT NULL").groupBy("bloque").agg(
         F.max("terminos_una_vez").alias("publicado"), F.min("terminos_una_vez").alias("menor"), F.count("terminos_una_vez").alias("n"), F.count(F.lit(1)).alias("filas"))
-    true = _block_singletons(spark, d)
-    return published.join(true, "bloque", "left").withColumn("una_vez", F.coalesce("una_vez", F.lit(0)))
+    true = clean.groupBy("bloque", "canon").agg(F.sum("freq").alias("f")).where("f = 1").groupBy("bloque").agg(F.count(F.lit(1)).alias("una_vez"))
+    # a null-safe join, as it adds no filter below the shuffle of the clean postings, which the counts per term use, too
+    true = true.withColumnRenamed("bloque", "b")
+    return published.join(true, published["bloque"].eqNullSafe(true["b"]), "left").withColumn("una_vez", F.coalesce("una_vez", F.lit(0)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Too rare and too common terms, and blocks whose published count of singletons can't be trusted."""
-    freqs = mark_useless(_term_frequencies(spark, d), n_documents(table(spark, d, "postings")))
-    names = canonical_terms(table(spark, d, "terminos"))[0]
+    terminos = table(spark, d, "terminos")
+    clean = clean_postings(table(spark, d, "postings"), terminos)
+    freqs = mark_useless(_term_frequencies(clean), n_documents(table(spark, d, "postings")))
+    names = canonical_terms(terminos)[0]
     terms = freqs.where("marca IS NOT NULL").join(names, "canon").select("marca", F.col("termino").alias("clave"))
-    blocks = _blocks(spark, d).where("n < filas OR publicado <> una_vez OR menor <> una_vez")
+    blocks = _blocks(clean, table(spark, d, "estadisticas")).where("n < filas OR publicado <> una_vez OR menor <> una_vez")
     return terms.unionAll(blocks.select(F.lit("bloque").alias("marca"), F.col("bloque").cast("string").alias("clave"))).distinct()
 
 
@@ -62,7 +59,8 @@ def p5_term_trust(spark: SparkSession, d: str) -> DataFrame:
     published = table(spark, d, "terminos").where("term_id IS NOT NULL").select("term_id", F.col("cf").alias("cf_pub"), F.col("df").alias("df_pub")).distinct()
     names = canonical_terms(table(spark, d, "terminos"))
     canon = names[1].withColumnRenamed("alias", "term_id")
-    freqs = mark_useless(_term_frequencies(spark, d), n_documents(table(spark, d, "postings")))
+    clean = clean_postings(table(spark, d, "postings"), table(spark, d, "terminos"))
+    freqs = mark_useless(_term_frequencies(clean), n_documents(table(spark, d, "postings")))
     rows = published.join(canon, "term_id", "left").withColumn("canon", F.coalesce("canon", "term_id"))
     return rows.join(freqs, "canon", "left").select(
         "term_id", F.coalesce("cf_pub", F.lit(-1)).alias("cf_pub"), F.coalesce("df_pub", F.lit(-1)).alias("df_pub"), F.coalesce("cf", F.lit(0)).alias("cf"), F.coalesce("df", F.lit(0)).alias("df"), "marca",
