@@ -83,23 +83,26 @@ def build_index(items: Sequence[tuple], n: int, share: float) -> list[ItemIndex]
 
 
 def banded_distance(a: Sequence[str], b: Sequence[str], shift: int, width: int) -> int:
-    """Edit distance in words of ``a`` within ``b`` (any part of ``b`` may be the counterpart), on diagonals ``shift`` +- ``width``."""
-    span = np.arange(shift - width, shift + width + 1)
+    """Edit distance in words of ``a`` within ``b`` (any part of ``b`` may be the counterpart), on diagonals ``shift`` +- ``width``. Only the words of ``b`` under the band are looked at."""
+    lo, hi = max(0, shift - width), max(0, min(len(b), shift + width + len(a)))
+    b, shift = b[lo:hi], shift - lo
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(w, len(codes)) for w in a])
-    y = np.array([codes.setdefault(w, len(codes)) for w in b] or [-1])
+    y = np.full(len(a) + 2 * width + 2, -1)
+    steps = np.arange(2 * width + 1)
+    # y[k] is the word of b on the band's lowest diagonal at row k
+    first = shift - width
+    for j in range(max(0, first), min(len(b), first + len(y))):
+        y[j - first] = codes.get(b[j], -2)
     big = len(a) + len(b) + 1
-    inside = (span >= 0) & (span <= len(b))
-    row = np.where(inside, 0, big)
-    steps = np.arange(len(span))
+    at = steps + first
+    row = np.where((at >= 0) & (at <= len(b)), 0, big)
     for i in range(len(a)):
-        j = span + i + 1
-        ok = (j >= 1) & (j <= len(b))
-        match = np.where(ok, row + (y[np.clip(j - 1, 0, len(y) - 1)] != x[i]), big)
-        drop = np.r_[row[1:], big] + 1
-        new = np.where((j >= 0) & (j <= len(b)), np.minimum(match, drop), big)
+        at += 1
+        under = y[i : i + len(steps)]
+        new = np.minimum(np.where(under == -1, big, row + (under != x[i])), np.append(row[1:], big) + 1)
         row = np.minimum.accumulate(new - steps) + steps
-        row = np.where((j >= 0) & (j <= len(b)), row, big)
+        row[(at < 0) | (at > len(b))] = big
     return int(min(row.min(), len(a)))
 
 
@@ -118,6 +121,7 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
         return
     doc_start = np.array(doc_start)
     starts = np.r_[0, np.flatnonzero((a == 32) | (a == 10))[:-1] + 1]
+    first_word = np.searchsorted(starts, doc_start)
     for ix in indexes:
         codes = _gram_codes(buf, starts, ix.q)
         maybe = np.flatnonzero(ix.filter[(codes >> np.uint64(44)).astype(np.int64)])
@@ -133,6 +137,7 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
         doc = np.searchsorted(doc_start, where, side="right") - 1
         item, pos = ix.item[occ], ix.pos[occ]
         diagonal = where - doc_start[doc] - pos
+        word = np.repeat(maybe, times)
         # distinct item positions that a document hits on any band: the bound; a missing run costs at least one position
         pair = doc * len(ix.ids) + item
         key = np.unique(pair * (int(ix.pos.max()) + 1) + pos)
@@ -150,11 +155,11 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
             bands, count = np.unique(np.r_[half, half - 1], return_counts=True)
             centre = int((bands[count.argmax()] + 1) * (band // 2))
             w, v = lists[d], ix.texts[i]
-            chars = np.cumsum([len(x.encode()) + 1 for x in w])
-            shift = int(np.searchsorted(chars, max(0, centre)))
-            edits = banded_distance(v, w, shift, band // 4)
-            runs = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
-            yield ids[d], ix.ids[i], len(ix.runs[i]), len(ix.runs[i] & runs), edits
+            at_word = word[own] - first_word[d]
+            # the word of the document that lies under the item's beginning on the band's central diagonal
+            shift = int(np.searchsorted(starts[first_word[d] : first_word[d] + len(w)] - doc_start[d], max(0, centre)))
+            shared = {run for j in at_word.tolist() if (run := tuple(w[j : j + n])) in ix.runs[i]}
+            yield ids[d], ix.ids[i], len(ix.runs[i]), len(shared), banded_distance(v, w, shift, band // 4)
 
 
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, n: int = 5, share: float = 0.4, band: int = BAND) -> DataFrame:
