@@ -78,6 +78,7 @@ def _array_udf(f, kind):
 
 vbyte_bytes = _array_udf(vbyte_encode, T.BinaryType())
 vbyte_numbers = _array_udf(vbyte_decode, T.ArrayType(T.LongType()))
+gap_numbers = _array_udf(lambda b: from_gaps(vbyte_decode(b)), T.ArrayType(T.LongType()))
 gamma_bytes = _array_udf(gamma_encode, T.BinaryType())
 gamma_numbers = _array_udf(gamma_decode, T.ArrayType(T.LongType()))
 

@@ -42,9 +42,14 @@ def rule_tokens(text: Column, words: str = "ascii") -> Column:
 
 def char_grams(text: Column, w: int) -> Column:
     """Runs of ``w`` characters, white space included, of the text without characters that tell nothing about its language; in lower case."""
-    bare = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s¿?¡!']", ""))
-    n = F.length(bare) - (w - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bare, i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+    # characters once, then neighbours by position: nothing is computed anew for each gram
+    chars = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s¿?¡!']", "")), "")
+    chars = F.filter(chars, lambda c: c != "")
+    n = F.size(chars) - (w - 1)
+    grams = F.slice(chars, F.lit(1), F.greatest(n, F.lit(0)))
+    for k in range(1, w):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))
+    return grams
 
 
 def without(tokens: Column, stop_words: list[str]) -> Column:
