@@ -90,15 +90,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, rounds:
         return nodes.withColumn("score", F.lit(0.0))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     arcs = checkpoint(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
-    linked = checkpoint(degree.select(F.col("src").alias("id")))
     ranks = nodes.withColumn("score", F.lit(1.0 / n))
-    for i in range(rounds):
-        loose = ranks.join(linked, "id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
-        flow = ranks.join(arcs, ranks["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
+    for _ in range(rounds):
+        # each round reads the last one once: what flows over links, kept, tells the rest of the mass
+        flow = checkpoint(ranks.join(arcs, ranks["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("flow")))
+        loose = flow.agg((1 - F.coalesce(F.sum("flow"), F.lit(0.0))).alias("loose"))
         new = nodes.join(flow, nodes["id"] == flow["dst"], "left").crossJoin(F.broadcast(loose))
         ranks = new.select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
-        if i % 4 == 3:
-            ranks = checkpoint(ranks)
     return ranks
 
 
@@ -118,10 +116,11 @@ def hits(nodes: DataFrame, edges: DataFrame, *, rounds: int = 20) -> DataFrame:
     for i in range(rounds):
         a = authority(hub)
         s = a.join(edges, a["id"] == edges["dst"]).groupBy("src").agg(F.sum("authority").alias("hub"))
-        hub = scaled(nodes.join(s, nodes["id"] == s["src"], "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub")), "hub")
-        if i % 4 == 3:
-            hub = checkpoint(hub)
-    return hub.join(scaled(authority(hub), "authority"), "id")
+        hub = nodes.join(s, nodes["id"] == s["src"], "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub"))
+        if i % 2 or i == rounds - 1:
+            # scaling reads its input twice, so it is done on kept rows; in between the values only grow
+            hub = scaled(checkpoint(hub), "hub")
+    return hub.join(scaled(checkpoint(authority(hub)), "authority"), "id")
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
