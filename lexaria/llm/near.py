@@ -80,6 +80,17 @@ def shingles(text: str, n: int, hashes: dict) -> np.ndarray:
     return np.unique(x)
 
 
+def _short(s: np.ndarray) -> bytes:
+    """The upper five bytes of each hash: two different shingles of a pair of texts fall together once in some ten million pairs."""
+    return np.unique(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _sketch(scheme: BallScheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = scheme.multipliers()
@@ -184,7 +195,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            s = [shingles(t, scheme.shingle, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            s = [_short(shingles(t, scheme.shingle, hashes)) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(s, pa.binary())], names=["id", "s"])
 
     again = source.where(wanted(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))).mapInArrow(sets, "id long, s binary").repartition(n, "id")
@@ -193,7 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
         for i, (p, q) in enumerate(zip(x, y)):
-            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            p, q = _long(p), _long(q)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out[i] = both / (len(p) + len(q) - both) if len(p) + len(q) else 0.0
         return pd.Series(out)
