@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Items that one task packs; only ids and sizes travel, some 16 bytes each.
-GROUP_ITEMS = 50_000
+GROUP_ITEMS = 20_000
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,4 +76,7 @@ def pack_containers(sizes: DataFrame, id_col: str, size_col: str, capacity: int,
         return pd.DataFrame({id_col: pdf["id"].to_numpy()[item], "part": part.astype("int32"), "container": [f"{g}-{x}" for x in b.tolist()], "tokens": tokens.astype("int32")})
 
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long"))
+    # groups are few bytes but much work: their number, not their size, sets the tasks
+    spark = sizes.sparkSession
+    rows = rows.repartition(min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "g")
     return rows.groupBy("g").applyInPandas(one, f"`{id_col}` long, part int, container string, tokens int")
