@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_BY_RANK = Window.partitionBy("system", "qid").orderBy("rank")
+def _by_rank():
+    return Window.partitionBy("system", "qid").orderBy("rank")
+
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -16,7 +18,7 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
 def per_query(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
     """(system, qid, p_at_k, ap, ndcg_at_k) of each judged topic; topics without a relevant document are left out."""
     j = judged(run, qrels).where("n_rel > 0")
-    j = j.withColumn("hits", F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, 0)))
+    j = j.withColumn("hits", F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).over(_by_rank().rowsBetween(Window.unboundedPreceding, 0)))
     top = F.col("rank") <= cut
     gain = F.col("rel") / F.log2(F.col("rank") + 1.0)
     best = qrels.where("rel > 0").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc(), "doc_id"))).where(F.col("r") <= cut)
@@ -25,7 +27,7 @@ def per_query(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
         (F.sum(F.when(top & (F.col("rel") > 0), 1).otherwise(0)) / F.lit(float(cut))).alias("p_at_k"),
         (F.sum(F.when(F.col("rel") > 0, F.col("hits") / F.col("rank")).otherwise(0.0)) / F.max("n_rel")).alias("ap"), F.sum(F.when(top, gain).otherwise(0.0)).alias("dcg"),
     )
-    return own.join(ideal, "qid").select("system", "qid", F.round("p_at_k", 6).alias("p_at_k"), F.round("ap", 6).alias("ap"), F.round(F.col("dcg") / F.col("ideal"), 6).alias("ndcg_at_k"))
+    return own.join(ideal, "qid").select("system", "qid", F.round("p_at_k", 6).alias("p_at_k"), F.round("ap", 6).alias("ap"), F.round(F.try_divide("dcg", "ideal"), 6).alias("ndcg_at_k"))
 
 
 def long_form(metrics: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 def interpolated(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """(system, recall, precision): best precision at or beyond each of 11 recall levels, mean over the topics."""
-    j = judged(run, qrels).where("n_rel > 0").withColumn("hits", F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, 0)))
+    j = judged(run, qrels).where("n_rel > 0").withColumn("hits", F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).over(_by_rank().rowsBetween(Window.unboundedPreceding, 0)))
     points = j.where("rel > 0").select("system", "qid", (F.col("hits") / F.col("n_rel")).alias("recall"), (F.col("hits") / F.col("rank")).alias("precision"))
     topics = j.select("system", "qid").distinct()
     return _levels(topics, points, ["system", "qid"]).groupBy("system", "recall").agg(F.round(F.avg("precision"), 6).alias("precision"))

@@ -79,7 +79,7 @@ def crawl_stats(pages: DataFrame) -> DataFrame:
     kind = F.when(F.col("g") == 15, "total").when(F.col("g") == 7, "dynamic").when(F.col("g") == 11, "depth").when(F.col("g") == 13, "dir_depth").otherwise("domain")
     value = F.when(F.col("g") == 7, F.col("dynamic").cast("string")).when(F.col("g") == 11, F.col("depth").cast("string")).when(F.col("g") == 13, F.col("dir_depth").cast("string")).when(F.col("g") == 14, F.col("domain"))
     total = f.agg(F.count(F.lit(1)).alias("n"))
-    return g.select(kind.alias("kind"), F.coalesce(value, F.lit("")).alias("value"), "pages").crossJoin(F.broadcast(total)).select("kind", "value", "pages", F.round(100.0 * F.col("pages") / F.col("n"), 4).alias("percent"))
+    return g.select(kind.alias("kind"), F.coalesce(value, F.lit("")).alias("value"), "pages").crossJoin(F.broadcast(total)).select("kind", "value", "pages", F.round(F.try_divide(100.0 * F.col("pages"), F.col("n")), 4).alias("percent"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, rounds: int = 20) -> DataFrame:

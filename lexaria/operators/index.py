@@ -67,7 +67,7 @@ def compression_savings(sizes: DataFrame) -> DataFrame:
     """One row: bytes raw, compressed without and with gaps, and the percentage that gaps save."""
     return sizes.agg(
         (F.sum("df") * POSTING_BYTES).alias("raw_bytes"), F.sum(F.col("ids_bytes") + F.col("freq_bytes")).alias("plain_bytes"), F.sum(F.col("gap_bytes") + F.col("freq_bytes")).alias("gap_bytes"),
-    ).withColumn("saving_percent", F.round(100.0 * (1 - F.col("gap_bytes") / F.col("plain_bytes")), 4))
+    ).withColumn("saving_percent", F.round(100.0 * (1 - F.try_divide("gap_bytes", "plain_bytes")), 4))
 
 
 #: Documents that one stored block of a compressed list holds; longer lists have several blocks.

@@ -28,7 +28,7 @@ def collection_stats(terms: DataFrame, docs: DataFrame) -> DataFrame:
     d = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.avg("n_tokens").alias("mean_tokens"), F.avg("n_terms").alias("mean_doc_terms"))
     both = d.crossJoin(F.broadcast(t))
     return both.select(
-        "n_docs", "n_tokens", "n_terms", F.round("mean_tokens", 6).alias("mean_tokens"), F.round(F.col("n_terms") / F.col("n_docs"), 6).alias("vocab_per_doc"),
+        "n_docs", "n_tokens", "n_terms", F.round("mean_tokens", 6).alias("mean_tokens"), F.round(F.try_divide(F.col("n_terms"), F.col("n_docs")), 6).alias("vocab_per_doc"),
         F.round("mean_doc_terms", 6).alias("mean_doc_terms"), F.round("mean_term_length", 6).alias("mean_term_length"), "hapax",
     )
 
