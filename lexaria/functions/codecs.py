@@ -25,14 +25,13 @@ def vbyte_encode(numbers: Iterable[int]) -> bytes:
 def vbyte_decode(data: bytes) -> list[int]:
     b = np.frombuffer(data, dtype=np.uint8)
     ends = np.flatnonzero(b & 128)
-    out, start = [], 0
-    for e in ends.tolist():
-        n = 0
-        for k in range(e, start - 1, -1):
-            n = (n << 7) | int(b[k] & 127)
-        out.append(n)
-        start = e + 1
-    return out
+    if not len(ends):
+        return []
+    starts = np.r_[0, ends[:-1] + 1]
+    place = np.arange(ends[-1] + 1) - np.repeat(starts, ends - starts + 1)
+    if place.max() < 9:
+        return np.add.reduceat((b[: ends[-1] + 1] & 127).astype(np.int64) << (7 * place), starts).tolist()
+    return [sum(int(x & 127) << (7 * k) for k, x in enumerate(b[s : e + 1])) for s, e in zip(starts.tolist(), ends.tolist())]
 
 
 def gamma_encode(numbers: Iterable[int]) -> bytes:

@@ -117,3 +117,10 @@ def pattern_batch(tf: DataFrame, word_lists: list[list[str]]) -> DataFrame:
     counts = flags.agg(*[F.count_if(predicate(parse(q), lambda w: F.col(names[w]))).alias(f"q{i}") for i, q in enumerate(queries)], *[F.count_if(n).alias(f"d_{n}") for n in names.values()])
     rows = [F.struct(F.lit(q).alias("query"), F.col(f"q{i}").alias("n_docs"), reduce(lambda a, b: a + b, (F.col(f"d_{names[w]}") for w in sorted(set(terms_of(parse(q)))))).alias("posting_sum")) for i, q in enumerate(queries)]
     return counts.select(F.inline(F.array(*rows)))
+
+
+def usable_queries(queries: DataFrame, terms: DataFrame, tokenizer, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """(qid, words) of the queries (qid, query) with as many tokens as ``sizes`` says, all of them in the vocabulary ``terms`` (term)."""
+    q = queries.select("qid", tokenizer(F.col("query")).alias("words")).where(F.size("words").isin(list(sizes)))
+    known = terms.select("term").join(F.broadcast(q.select("qid", "words", F.explode("words").alias("term"))), "term").groupBy("qid", "words").agg(F.count(F.lit(1)).alias("n"))
+    return known.where(F.col("n") == F.size("words")).select("qid", F.concat_ws(" ", "words").alias("words"))

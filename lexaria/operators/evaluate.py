@@ -87,3 +87,16 @@ def overlap_at(a: DataFrame, b: DataFrame, cuts: list[int]) -> DataFrame:
     worst = both.select(F.greatest("ra", "rb").alias("w")).where(F.col("w") <= max(cuts, default=0))
     wide = worst.agg(*[F.count_if(F.col("w") <= k).alias(f"k{k}") for k in cuts])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"k{k}") / k, 6).alias("overlap")) for k in cuts])))
+
+
+def mean_by_bin(values: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, mean): mean ``value`` of rows of (size, value) by equal-width bins of ``size``, the last closed on the right."""
+    lim = values.agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("size") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))).cast("int")
+    return values.crossJoin(F.broadcast(lim)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def timing_summary(seconds: dict[str, float], k: int = 10) -> list[tuple[str, float]]:
+    """The k fastest, an ellipsis if more than 2k were measured, and the k slowest of measured queries."""
+    order = sorted(seconds.items(), key=lambda x: (x[1], x[0]))
+    return order if len(order) <= 2 * k else [*order[:k], ("...", float("nan")), *order[-k:]]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexaria.operators.stats import term_frequencies, term_stats
+from lexaria.session import checkpoint
 
 
 @dataclass
@@ -27,6 +28,12 @@ def build_index(docs: DataFrame, tokens: Column) -> Index:
     return Index(tf, term_stats(tf), lengths, corpus)
 
 
+def stored(ix: Index) -> Index:
+    """The index with its postings, statistics and lengths in the checkpoint folder, for several models or many topics."""
+    tf = checkpoint(ix.tf)
+    return Index(tf, checkpoint(term_stats(tf)), checkpoint(ix.lengths), checkpoint(ix.corpus))
+
+
 def topic_terms(spark: SparkSession, topics: Mapping[int, str] | DataFrame, tokenizer) -> DataFrame:
     """(qid, term, qtf)."""
     df = topics if isinstance(topics, DataFrame) else spark.createDataFrame(list(topics.items()), "qid int, query string")

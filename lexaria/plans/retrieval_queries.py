@@ -44,7 +44,7 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
 
 def runs(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     """(system, qid, doc_id, score, rank) of three models over all items."""
-    ix, q = _index(spark, d), _items(spark, d)
+    ix, q = rank.stored(_index(spark, d)), _items(spark, d)
     parts = [rank.top_k(m(ix, q), k, name) for name, m in (("bm25", rank.bm25), ("tfidf", rank.robertson_tfidf), ("hiemstra", rank.hiemstra_lm))]
     return checkpoint(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
@@ -55,7 +55,7 @@ def _evaluated(f):
 
 def spearman_topk(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of two models on every topic at k = 10, 25 and 50."""
-    ix, q = _index(spark, d), _topics(spark)
+    ix, q = rank.stored(_index(spark, d)), _topics(spark)
     a, b = checkpoint(rank.top_k(rank.bm25(ix, q), 50)), checkpoint(rank.top_k(rank.robertson_tfidf(ix, q), 50))
     parts = [evaluate.rank_correlation(a, b, k).withColumn("k", F.lit(k)) for k in (10, 25, 50)]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -75,6 +75,23 @@ def query_len_groups(spark: SparkSession, d: str) -> DataFrame:
     return n.join(t, "qid", "left").groupBy("terms").agg(F.count(F.lit(1)).alias("topics"), F.round(F.avg(F.coalesce("postings", F.lit(0))), 6).alias("mean_postings"))
 
 
+CANDIDATES = [(1, "archivo mapa"), (2, "archivo zzdesconocida"), (3, "the library map"), (4, "archivo"), (5, "a b c d"), (6, "índice copia")]
+
+
+def query_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of two or three words that are all in the vocabulary."""
+    terms = tf_of(spark, d).select("term").distinct()
+    return boolean.usable_queries(spark.createDataFrame(CANDIDATES, "qid int, query string"), terms, main_tokens)
+
+
+def size_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Mean number of terms of a topic by ten bins of the summed sizes of its posting lists."""
+    q = _items(spark, d)
+    sizes = tf_of(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    per = sizes.join(F.broadcast(q), "term").groupBy("qid").agg(F.sum("df").alias("size"), F.count(F.lit(1)).cast("double").alias("value"))
+    return evaluate.mean_by_bin(per, 10)
+
+
 def ranked_union(spark: SparkSession, d: str) -> DataFrame:
     """Documents in the first ten of either model, with both ranks (0: not in that list)."""
     ix, q = _index(spark, d), _topics(spark)
@@ -107,6 +124,8 @@ QUERIES = {
     "metric_hist": metric_hist,
     "spearman_topk": spearman_topk,
     "query_len_groups": query_len_groups,
+    "query_filter": query_filter,
+    "size_bins": size_bins,
 }
 
 _TOKENS_Q = TOK.split("list_transform(", 1)[1].split(", lambda x: lower(x))", 1)[0].replace("(text,", "(query,")
@@ -200,6 +219,12 @@ z AS (SELECT 1) SELECT 1""",
     "query_len_groups": ITEMS + ", t AS (SELECT qid, count(*) AS terms, coalesce(sum(df), 0) AS postings FROM q LEFT JOIN terms USING (term) GROUP BY qid) SELECT terms, count(*) AS topics, round(avg(postings), 6) AS mean_postings FROM t GROUP BY terms",
 }
 
+SQL["query_filter"] = _index_sql("SELECT qid, query FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in CANDIDATES) + ") v(qid, query)") + """
+, w AS (SELECT qid, query, count(*) AS n FROM (SELECT qid, query, unnest(string_split(query, ' ')) AS term FROM topics) GROUP BY ALL)
+SELECT w.qid, w.query AS words FROM w WHERE n IN (2, 3) AND (SELECT count(*) FROM q SEMI JOIN terms USING (term) WHERE q.qid = w.qid) = n"""
+SQL["size_bins"] = ITEMS + """, t AS (SELECT qid, CAST(sum(df) AS BIGINT) AS size, count(*) AS value FROM q JOIN terms USING (term) GROUP BY qid), lim AS (SELECT min(size) AS lo, max(size) AS hi FROM t)
+SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((size - lo) * 10 / (hi - lo)), 9) END AS INT) AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM t, lim GROUP BY ALL"""
+
 
 def _spearman(k: int) -> str:
     return f"""SELECT {k} AS k, qid, round(corr(rx, ry), 6) AS rho FROM (

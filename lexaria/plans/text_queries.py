@@ -9,11 +9,11 @@ from lexaria.functions.html import html_text_sql
 from lexaria.functions.stem import lancaster, porter, snowball_es, stem_column
 from lexaria.operators import charmodels, index, stats
 from lexaria.operators.stats import doc_stats, term_frequencies, term_stats
-from lexaria.session import table
+from lexaria.session import spread, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def tokens() -> Column:
@@ -53,7 +53,7 @@ def _labelled(spark, d):
 
 def _langid(w):
     def run(spark, d):
-        return charmodels.nearest_language(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), charmodels.char_model(_labelled(spark, d), w), w).withColumnRenamed("id", "doc_id")
+        return charmodels.nearest_language(docs(spark, d).withColumnRenamed("doc_id", "id"), charmodels.char_model(_labelled(spark, d), w), w).withColumnRenamed("id", "doc_id")
 
     return run
 

@@ -39,3 +39,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     The check is one count over ``df``; callers pass narrow frames (two or three numeric columns), so the bound on rows bounds bytes.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores. Only an input of fewer files or row groups than cores is shuffled, by ``key``; a large one is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
