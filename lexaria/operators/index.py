@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexaria.functions import codecs
 from lexaria.operators.order import ordered
@@ -35,24 +35,25 @@ def posting_list(tf: DataFrame, term: str) -> DataFrame:
 def skip_lists(tf: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, skip_idx, doc_id, byte_offset): every k-th posting, k = floor(sqrt(df)), from the first. Offsets are within the term's list.
 
-    A term's postings are numbered within the term; the longest list has one row per document.
+    Postings are numbered over the whole index and the number at which the term's list begins is taken off, so no list is gathered in one task.
     """
-    w = Window.partitionBy("term").orderBy("doc_id")
     k = F.floor(F.sqrt("df")).cast("int")
-    rows = tf.join(terms.select("term", "df"), "term").withColumn("rn", F.row_number().over(w) - 1)
+    starts = lexicon(terms).select("term", "df", (F.col("pointer") / POSTING_BYTES).cast("long").alias("start"))
+    rows = ordered(tf.select("term", "doc_id"), [F.col("term"), F.col("doc_id")]).join(starts, "term").withColumn("rn", F.col("pos") - 1 - F.col("start"))
     return rows.where(F.col("rn") % k == 0).select("term", F.floor(F.col("rn") / k).cast("int").alias("skip_idx"), "doc_id", (F.col("rn") * POSTING_BYTES).cast("long").alias("byte_offset"))
 
 
 def gaps(tf: DataFrame) -> DataFrame:
     """(term, doc_id, tf, gap): differences of neighbouring ids of a list, the first one itself."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return tf.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+    rows = ordered(tf.select("term", "doc_id", "tf"), [F.col("term"), F.col("doc_id")], position=None, lags={"t": F.col("term"), "d": F.col("doc_id")})
+    return rows.select("term", "doc_id", "tf", (F.col("doc_id") - F.when(F.col("t") == F.col("term"), F.col("d")).otherwise(0)).alias("gap"))
 
 
 def gaps_restored(gapped: DataFrame) -> DataFrame:
-    """(term, doc_id, restored): ids from running sums of gaps."""
-    w = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.select("term", "doc_id", F.sum("gap").over(w).alias("restored"))
+    """(term, doc_id, restored): ids from running sums of gaps, less what the lists before the term's sum up to."""
+    rows = ordered(gapped.select("term", "doc_id", "gap"), [F.col("term"), F.col("doc_id")], position=None, sums={"s": F.col("gap")})
+    base = rows.groupBy("term").agg(F.min(F.col("s") - F.col("gap")).alias("base"))
+    return rows.join(base, "term").select("term", "doc_id", (F.col("s") - F.col("base")).alias("restored"))
 
 
 def compressed_sizes(tf: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ def test_order_numbers_all_rows(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     got = {r["x"]: (r["pos"], r["s"]) for r in order.ordered(rows, [F.col("x")], sums={"s": F.col("x")}).collect()}
     assert all(got[x] == (x + 1, x * (x + 1) // 2) for x in range(1000))
-    assert order.ordered(rows.limit(0), [F.col("x")]).count() == 0
+    before = {r["x"]: r["b"] for r in order.ordered(rows, [F.col("x").desc()], lags={"b": F.col("x")}).collect()}
+    assert before == {x: x + 1 if x < 999 else None for x in range(1000)}
+    assert order.ordered(rows.limit(0), [F.col("x")], lags={"b": F.col("x")}).count() == 0
 
 
 def test_boolean_is_set_algebra(tf, docs):
