@@ -10,6 +10,11 @@ def _decoded(content: str = "content"):
     return F.regexp_replace(F.make_valid_utf8(F.col(content).cast("string")), "�", "")
 
 
+def _strip(c):
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def flat_folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc_name, text): every file of one folder, whole, UTF-8."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_name"), F.col("value").alias("text"))
@@ -31,14 +36,14 @@ def corpus_size(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(file, text): trimmed lines that aren't blank."""
     raw = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").schema("value string").csv(path) if encoding.upper() != "UTF-8" else spark.read.text(path)
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("text")).where("text <> ''")
+    return raw.select(F.col("_metadata.file_name").alias("file"), _strip(F.col("value")).alias("text")).where("text <> ''")
 
 
 def tagged_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_name, text) of a file of <DOC> records with <DOCNO>; what follows the last record is dropped."""
     raw = spark.read.text(path, lineSep="</DOC>")
-    name = F.trim(F.regexp_extract("value", r"(?s)<DOCNO>(.*?)</DOCNO>", 1))
-    return raw.select(name.alias("doc_name"), F.trim(F.regexp_replace("value", r"(?s)^.*?</DOCNO>", "")).alias("text")).where("doc_name <> ''")
+    name = _strip(F.regexp_extract("value", r"(?s)<DOCNO>(.*?)</DOCNO>", 1))
+    return raw.select(name.alias("doc_name"), _strip(F.regexp_replace("value", r"(?s)^.*?</DOCNO>", "")).alias("text")).where("doc_name <> ''")
 
 
 def posting_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -50,25 +55,25 @@ def posting_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:
     """(qid, query) of lines ``id:query``, or whole lines (NULL qid); blank ones dropped."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    raw = spark.read.text(path).where(_strip(F.col("value")) != "")
     has = F.contains("value", F.lit(":"))
     return raw.select(F.when(has, F.trim(F.substring_index("value", ":", 1))).alias("qid"), F.trim(F.when(has, F.regexp_replace("value", "^[^:]*:", "")).otherwise(F.col("value"))).alias("query"))
 
 
 def short_queries(spark: SparkSession, path: str, least: int = 2, most: int = 4) -> DataFrame:
     """(query) of lines with ``least`` to ``most`` words."""
-    q = F.trim("value")
+    q = _strip(F.col("value"))
     return spark.read.text(path).where(F.size(F.split(q, r"\s+")).between(least, most) & (q != "")).select(q.alias("query"))
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct words of a list, one a line, in lower case."""
-    return spark.read.text(path).select(F.lower(F.trim("value")).alias("term")).where("term <> ''").distinct()
+    return spark.read.text(path).select(F.lower(_strip(F.col("value"))).alias("term")).where("term <> ''").distinct()
 
 
 def language_solution(spark: SparkSession, path: str) -> DataFrame:
     """(n, lang) of lines ``n Label``."""
-    p = F.split(F.trim("value"), r"\s+")
+    p = F.split(_strip(F.col("value")), r"\s+")
     return spark.read.text(path).where(F.size(p) >= 2).select(p[0].cast("long").alias("n"), p[1].alias("lang"))
 
 
