@@ -44,6 +44,11 @@ class BallScheme:
         one = s**self.anchors * sum(comb(self.bits, k) * q**k * (1 - q) ** (self.bits - k) for k in range(self.radius + 1))
         return 1 - (1 - one) ** self.tables
 
+    def most_bits(self, threshold: float) -> int:
+        """Bits of two signatures that texts of similarity ``threshold`` differ in at most, but for one pair in some thirty thousand (mean and four deviations)."""
+        k, q = self.tables * (self.anchors + self.bits), (1 - threshold) / 2
+        return int(np.ceil(k * q + 4 * np.sqrt(k * q * (1 - q))))
+
     def flips(self) -> np.ndarray:
         """All bit patterns with at most half the radius bits set."""
         codes = np.arange(1 << self.bits)
@@ -99,7 +104,7 @@ def _sketch(scheme: BallScheme):
         weight = (np.uint64(1) << np.arange(b, dtype=np.uint64))[None, :]
         salt = _mix(np.arange(1, t + 1, dtype=np.uint64))
         for batch in batches:
-            ids, same, keys, codes = [], [], [], []
+            ids, same, keys, codes, sigs = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, scheme.shingle, hashes) if text else ()
                 if doc is None or not len(s):
@@ -115,11 +120,12 @@ def _sketch(scheme: BallScheme):
                 for k in range(a):
                     key = _mix(key + m[:, k])
                 ids.append(doc)
+                sigs.append(np.packbits(np.pad(((least.reshape(-1) >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), (0, -len(mul) % 64))).view(np.uint64))
                 same.append(xxhash.xxh128_digest(s.tobytes()))
                 keys.append(key)
                 codes.append((((m[:, a:] >> np.uint64(3)) & np.uint64(1)) * weight).sum(axis=1))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(same, pa.binary()), _lists(keys), _lists(codes)], names=["id", "same", "keys", "codes"]
+                [pa.array(ids, pa.int64()), pa.array(same, pa.binary()), _lists(keys), _lists(codes), _lists(sigs)], names=["id", "same", "keys", "codes", "sig"]
             )
 
     return run
@@ -164,7 +170,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     similarity), id_a < id_b, between representatives: with the members it holds every link, and copies are never paired with each other.
 
     Meet-in-the-middle ball hashing: each representative's fingerprints (see ``BallScheme``) emit all variants within half the radius, the variants
-    are shuffled, ids that meet on one are paired and deduplicated, and the pairs verified on their exact shingle sets. The join on variants is left to the
+    are shuffled, ids that meet on one are paired and deduplicated, pairs with too different signatures dropped, and the rest verified on their exact shingle sets. The join on variants is left to the
     engine, which splits a hot variant's partition, and ``spark.checkpoint.dir`` holds the fingerprints. Only texts that have a candidate
     are read again for the verification: a bit filter of fixed size picks them where they are read.
 
@@ -173,18 +179,23 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     """
     scheme = scheme or BallScheme(shingle=5)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    sketches = checkpoint(source.mapInArrow(_sketch(scheme), "id long, same binary, keys array<long>, codes array<long>"))
+    sketches = checkpoint(source.mapInArrow(_sketch(scheme), "id long, same binary, keys array<long>, codes array<long>, sig array<long>"))
     versions = sketches.select("id", "same").distinct()
     classes = versions.groupBy("same").agg(F.min("id").alias("rep"))
     members = versions.join(classes, "same").select("id", "rep").distinct()
     # a representative's own row per class: the class's fingerprint, whichever version of the id carries it
-    first = sketches.join(classes, (sketches["same"] == classes["same"]) & (sketches["id"] == classes["rep"])).select("id", "keys", "codes")
-    balls = first.mapInArrow(_variants(scheme), "variant long, id long")
+    first = sketches.join(classes, (sketches["same"] == classes["same"]) & (sketches["id"] == classes["rep"])).select("id", "keys", "codes", "sig")
+    first_sig = first.select("id", "sig")
+    balls = first.select("id", "keys", "codes").mapInArrow(_variants(scheme), "variant long, id long")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     balls = balls.repartition(n, "variant")
     a, b = balls.alias("a"), balls.alias("b")
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    met = checkpoint(met)
+    # one bit of each minimum hash: pairs whose signatures differ too much for the threshold are dropped before any set is shipped
+    words_ = -(-scheme.tables * (scheme.anchors + scheme.bits) // 64)
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(words_)), F.lit(0))
+    met = met.join(first_sig.select(F.col("id").alias("id_a"), F.col("sig").alias("x")), "id_a").join(first_sig.select(F.col("id").alias("id_b"), F.col("sig").alias("y")), "id_b")
+    met = checkpoint(met.where(apart <= scheme.most_bits(threshold)).select("id_a", "id_b").distinct())
     bits = _filter_words(met.select(F.explode(F.array("id_a", "id_b")).alias("id")), FILTER_BITS)
 
     @F.pandas_udf(T.BooleanType())
