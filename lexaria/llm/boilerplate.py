@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lexaria.llm.boosting import BoostedTrees, fit
+from lexaria.session import checkpoint
 
 # Phrases of site furniture and usual section headings in the six languages, without accents, in lower case; 0 stands for a number, @ for the page's host (fixed values).
 WIDGETS = """
@@ -48,6 +50,7 @@ FOOTER = re.compile(
 BULLET = re.compile(r"^\s*[•–›»·▪◦*-]\s+")
 STOP = re.compile(r"[.!?…]['\"»”)]*\s*(?:[A-Z][^.]{0,40})?$")
 MARKS = re.compile("[\u0300-\u036f]+")
+SENTENCE = re.compile(r"[.!?…;]\s+")
 SEPARATED = re.compile(r"\s[»·|>•]\s|\S {2,}\S")
 
 
@@ -56,8 +59,12 @@ def _set(text: str) -> frozenset[str]:
 
 
 CLASS_SETS = {"widget": _set(WIDGETS), "head": _set(LIST_HEADS), "nav": _set(NAV_WORDS), "heading": _set(HEADINGS)}
-CLASSES = ("widget", "head", "nav", "menu", "cookie", "crumb", "footer", "heading", "prose", "phrase")
-BOILER = frozenset(("widget", "head", "nav", "menu", "cookie", "crumb", "footer"))
+CLASSES = ("widget", "head", "nav", "menu", "cookie", "crumb", "footer", "repeated", "heading", "prose", "phrase")
+BOILER = frozenset(("widget", "head", "nav", "menu", "cookie", "crumb", "footer", "repeated"))
+#: A line of sentences beside so many different texts is furniture; from UNSURE on it teaches neither.
+MANY, UNSURE = 5, 3
+#: Fewest words of a line or sentence that is looked at for this.
+LONG = 4
 
 
 def line_key(line: str, host: str = "") -> str:
@@ -70,6 +77,17 @@ def line_key(line: str, host: str = "") -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "0", s)) if "  " in s or re.search(r"\d", s) else s
 
 
+def line_hash(key: str) -> int:
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def text_mark(keys: Iterable[str]) -> int:
+    """The least hash of a page's sentences: copies of an article mostly share it, different articles of one site don't."""
+    parts = [x for k in keys for x in SENTENCE.split(k) if x.count(" ") >= LONG - 1]
+    return min(map(line_hash, parts or keys))
+
+
 @dataclass
 class Node:
     """A line of a page; its ancestors are its block and the page."""
@@ -81,6 +99,7 @@ class Node:
     bullet: bool
     words: int
     block: int = 0
+    spread: int = 1  # different texts of all sites it stands beside
     since_head: int = 0  # lines after the head of the list it may belong to, 0 outside
     is_crumb: bool = False
 
@@ -108,15 +127,23 @@ def _kind(line: str, key: str, bullet: bool) -> str:
     return "prose" if len(words) > 11 or (re.search(r"[.!?…:;]\s*$", key) and len(words) > 2) or (STOP.search(line) and len(words) > 4) else "phrase"
 
 
-def parse_page(text: str, host: str = "") -> Page:
-    """Lines and blocks: a list head with its items, a run of menu lines, a run of prose with its headings, or a single line."""
+def parse_page(text: str, host: str = "", spread: dict[int, int] | None = None) -> Page:
+    """Lines and blocks: a list head with its items, a run of menu lines, a run of prose with its headings, or a single line.
+
+    ``spread`` has, by ``line_hash``, how many different texts a line stands beside, for those beside more than one.
+    """
     host = host.removeprefix("www.")
     nodes, crumb = [], None
     for at, line in enumerate(text.split("\n")):
         if line.strip():
             key = line_key(line, host)
             bullet = bool(BULLET.match(line))
-            nodes.append(Node(at, line, key, _kind(BULLET.sub("", line), key, bullet), bullet, len(key.split())))
+            n = Node(at, line, key, _kind(BULLET.sub("", line), key, bullet), bullet, len(key.split()))
+            if spread and n.words >= LONG:
+                n.spread = spread.get(line_hash(key), 1)
+                if n.kind == "prose" and n.spread >= MANY:
+                    n.kind = "repeated"
+            nodes.append(n)
     for n in nodes:
         if n.kind == "crumb":
             crumb = re.split(r"\s?>\s?", n.key)[-1]
@@ -152,11 +179,11 @@ def parse_page(text: str, host: str = "") -> Page:
 END, ENDS, DIGIT = re.compile(r"[.!?…]\s*$"), re.compile(r"[.!?…](?:\s|$)"), re.compile(r"\d")
 ONE_HOT = {c: [float(c == d) for d in CLASSES] for c in CLASSES}
 NO_CLASS = [0.0] * len(CLASSES)
-FEATURES = 27 + 3 * len(CLASSES)
+FEATURES = 28 + 3 * len(CLASSES)
 
 
-def features(page: Page, recur: dict[str, int], pages_of_host: int) -> np.ndarray:
-    """A row per line: its own text, its block (subtree density), siblings, depth, attribute tokens of itself and its neighbours, and how often the line recurs on the host."""
+def features(page: Page, recur: dict[int, int], pages_of_host: int) -> np.ndarray:
+    """A row per line: its own text, its block (subtree density), siblings, depth, attribute tokens of itself and its neighbours, and how often the line recurs on the host and beside different texts."""
     n = len(page.nodes)
     out = np.zeros((n, FEATURES))
     first_prose = next((i for i, x in enumerate(page.nodes) if x.kind == "prose"), n)
@@ -169,13 +196,13 @@ def features(page: Page, recur: dict[str, int], pages_of_host: int) -> np.ndarra
     for i, x in enumerate(page.nodes):
         density, m, mean_words, marked = of_block[x.block]
         prev, nxt = page.nodes[i - 1] if i else None, page.nodes[i + 1] if i + 1 < n else None
-        seen, size = recur.get(x.key, 1), len(x.text)
+        seen, size = recur.get(line_hash(x.key), 1), len(x.text)
         row = [
             math.log1p(size), x.words, bool(END.search(x.text)), len(ENDS.findall(x.text)), len(SEPARATED.findall(x.text)), x.bullet, "©" in x.text,
             len(DIGIT.findall(x.text)) / size, sum(map(str.isupper, x.text)) / size, "@" in x.key, "cookie" in x.key,
             density, m, mean_words, marked, 1 + (m > 1) + x.bullet, i / n, (n - i) / n, i < first_prose, i > last_prose,
             x.words / max(1, prev.words) if prev else 0, x.words / max(1, nxt.words) if nxt else 0,
-            math.log1p(seen), seen / max(1, pages_of_host), x.is_crumb, x.since_head, x.since_head and not x.bullet,
+            math.log1p(seen), math.log1p(x.spread), seen / max(1, pages_of_host), x.is_crumb, x.since_head, x.since_head and not x.bullet,
         ]
         for other in (x, prev, nxt):
             row += ONE_HOT[other.kind] if other else NO_CLASS
@@ -184,12 +211,14 @@ def features(page: Page, recur: dict[str, int], pages_of_host: int) -> np.ndarra
 
 
 def weak_labels(page: Page) -> np.ndarray:
-    """1 site furniture, 0 content, -1 unknown: what the phrases and the list structure say for sure. Only training uses this."""
+    """1 site furniture, 0 content, -1 unknown: what the phrases, the list structure and recurrence say for sure. Only training uses this."""
     out = np.full(len(page.nodes), -1)
     for i, x in enumerate(page.nodes):
         nxt = page.nodes[i + 1] if i + 1 < len(page.nodes) else None
         if x.kind in BOILER:
             out[i] = 1
+        elif x.kind == "prose" and x.spread >= UNSURE:
+            continue
         elif x.kind == "prose" and x.words > 3 or x.kind == "heading" or x.is_crumb:
             out[i] = 0
         elif x.since_head and (x.bullet or (nxt is not None and nxt.since_head)):
@@ -227,35 +256,45 @@ def decode(page: Page, prob: np.ndarray) -> np.ndarray:
 
 
 def train(sample: pd.DataFrame, rounds: int = 40) -> BoostedTrees:
-    """Boosted trees from the weak labels of pages with columns text, host, keys, counts, pages."""
+    """Boosted trees from the weak labels of pages with columns text, host, known, pages."""
     xs, ys = [], []
     for r in sample.itertuples(index=False):
-        page = parse_page(r.text, r.host or "")
+        recur, spread = _maps(r.known)
+        page = parse_page(r.text, r.host or "", spread)
         if page.nodes:
             y = weak_labels(page)
-            xs.append(features(page, dict(zip(r.keys, r.counts)) if r.keys is not None else {}, r.pages or 1)[y >= 0])
+            xs.append(features(page, recur, r.pages or 1)[y >= 0])
             ys.append(y[y >= 0])
     x = np.concatenate(xs) if xs else np.zeros((0, FEATURES))
     y = np.concatenate(ys) if ys else np.zeros(0)
     return fit(x, y.astype(float), rounds=rounds)
 
 
+def _maps(known) -> tuple[dict[int, int], dict[int, int]]:
+    """By the line's hash: pages of the host with it, and different texts beside it."""
+    rows = [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in known] if known is not None else []
+    return {k: n for k, n, on_host in rows if on_host}, {k: n for k, n, on_host in rows if not on_host}
+
+
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, hosts, keys = [], [], []
+        ids, hosts, keys, marks = [], [], [], []
         for doc, host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            own = {line_key(x, (host or "").removeprefix("www.")) for x in text.split("\n") if x.strip() and len(x) < 200}
+            own = {line_key(x, (host or "").removeprefix("www.")) for x in text.split("\n") if x.strip()}
+            mark = text_mark(own) if own else None
             ids += [doc] * len(own)
             hosts += [host] * len(own)
-            keys += own
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.string())], names=["id", "host", "key"])
+            keys += map(line_hash, own)
+            marks += [mark if len(x.split()) >= LONG else None for x in own]
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(marks, pa.int64())], names=["id", "host", "key", "mark"])
 
 
 def page_lines(pages: DataFrame, *, train_pages: int = 1000) -> DataFrame:
     """(id, line, boilerplate, probability) for each non-blank line of ``pages`` (id BIGINT, host STRING, text STRING), lines from 0.
 
-    1. Lines are counted per host in all pages (numbers and the host's name masked); only those on two pages or more are kept, and
-       come back to their pages as a small map. Counting combines in the map tasks, so a host with a third of the pages is no bottleneck; the maps are joined by page.
+    1. Lines of any length are counted per host in all pages (numbers and the host's name masked), and lines of four words or more also over all hosts,
+       there by the different texts they stand beside (``text_mark``), so that a copied article isn't taken for furniture. Only hashes are shuffled (and kept in ``spark.checkpoint.dir``); lines with a count of
+       two or more come back to their pages as a small map. Sentences beside ``MANY`` texts are furniture, whether a phrase names them or not. Counting combines in the map tasks, so a host with a third of the pages is no bottleneck; the maps are joined by page.
     2. Gradient-boosted trees over the nodes of each page's tree (page, block, line): text density of the block, depth, siblings, attribute
        tokens of the node and its neighbours, recurrence. They are trained here, on weak labels of at most ``train_pages`` pages (those with the smallest
        hashes of the id; the bound of the fit), and applied to all.
@@ -264,12 +303,18 @@ def page_lines(pages: DataFrame, *, train_pages: int = 1000) -> DataFrame:
     NULL ids or texts give no rows, a NULL host is a host without other pages, blank texts have no lines. Repeated rows give repeated results.
     """
     pages = pages.select(F.col("id").cast("long").alias("id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    keys = pages.mapInArrow(_line_keys, "id long, host string, key string").where("host IS NOT NULL").select("id", "host", "key", F.xxhash64("host", "key").alias("h"))
-    counts = keys.select("h", "id").distinct().groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    lines = pages.mapInArrow(_line_keys, "id long, host string, key long, mark long")
+    # hashes only, kept: four counts read them, and texts are cut into lines once
+    lines = checkpoint(lines.select("id", "key", "mark", F.when(F.col("host").isNotNull(), F.xxhash64("host", "key")).alias("h")))
+    on_host = lines.where("h IS NOT NULL")
+    counts = on_host.select("h", "id").distinct().groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    longer = lines.where("mark IS NOT NULL")
+    spread = longer.select("key", "mark").distinct().groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     sizes = pages.where("host IS NOT NULL").select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).cast("int").alias("pages"))
-    known = keys.join(counts, "h").groupBy("id").agg(F.collect_set(F.struct("key", "n")).alias("known"))
+    known = on_host.join(counts, "h").select("id", "key", "n", F.lit(True).alias("on_host")).unionAll(longer.select("id", "key").join(spread, "key").select("id", "key", "n", F.lit(False).alias("on_host")))
+    known = checkpoint(known.groupBy("id").agg(F.collect_set(F.struct("key", "n", "on_host")).alias("known")))
     rich = pages.join(known, "id", "left").join(sizes, "host", "left")
-    rich = rich.select("id", "host", "text", F.col("known.key").alias("keys"), F.col("known.n").alias("counts"), "pages")
+    rich = rich.select("id", "host", "text", "known", "pages")
     picked = pages.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(train_pages)
     model = train(rich.join(F.broadcast(picked), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(train_pages).toPandas())
 
@@ -278,11 +323,12 @@ def page_lines(pages: DataFrame, *, train_pages: int = 1000) -> DataFrame:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500).to_pydict()
                 parsed, rows = [], []
-                for doc, host, text, k, c, n in zip(*(b[x] for x in ("id", "host", "text", "keys", "counts", "pages"))):
-                    page = parse_page(text, host or "")
+                for doc, host, text, known, n in zip(*(b[x] for x in ("id", "host", "text", "known", "pages"))):
+                    recur, spread = _maps(known)
+                    page = parse_page(text, host or "", spread)
                     if page.nodes:
                         parsed.append((doc, page))
-                        rows.append(features(page, dict(zip(k, c)) if k else {}, n or 1))
+                        rows.append(features(page, recur, n or 1))
                 if not parsed:
                     continue
                 prob = model.predict(np.concatenate(rows))

@@ -198,6 +198,23 @@ def test_boilerplate(spark):
     assert boilerplate.page_lines(df.limit(0)).count() == 0
 
 
+def test_furniture_that_no_phrase_names(spark):
+    rnd = random.Random(4)
+    notice = "Este site grava cookies no seu aparelho; ao continuar, você concorda com a nossa política de privacidade."
+    legal = " ".join(sentence(rnd, 20).capitalize() + "." for _ in range(3))
+    copied = page(rnd, "h0.example", "Titulo copiado").split("\n")
+    rows = []
+    for i in range(40):
+        lines = list(copied) if i % 5 == 0 else page(rnd, f"h{i % 3}.example", f"Titulo {WORDS[i]}").split("\n")
+        # one host repeats the legal text, all hosts the notice
+        rows.append((i, f"h{i % 3}.example", "\n".join([notice, *lines, *([legal] if i % 3 == 1 else [])])))
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    flags = {(r["id"], r["line"]): r["boilerplate"] for r in boilerplate.page_lines(df).collect()}
+    assert len(legal) > 200
+    for i in range(40):
+        assert [k for k in range(17) if flags.get((i, k))] == [0, 1, 2, 5, 6, 7, 8, 14, *([15] if i % 3 == 1 else [])]
+
+
 def test_title_after_an_unmarked_list():
     p = boilerplate.parse_page("Etiquetas\nuna cosa\notra cosa\nEl titulo\n" + "Una frase larga con muchas palabras que termina aqui sin falta. " * 2)
     out = boilerplate.decode(p, [0.9 if x.kind != "prose" else 0.1 for x in p.nodes])
