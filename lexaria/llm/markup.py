@@ -242,12 +242,40 @@ def _tex_tree(text: str) -> Element:
 _SETEXT = re.compile(r"^(?:={3,}|-{3,})\s*$")
 
 
+_TABLE, _TABLE_END = re.compile(r"[\s:]*\{\|"), re.compile(r"\s*\|\}(?!\})")
+_CELL_MARK = re.compile(r"\[\[.*?\]\]|\{\{.*?\}\}|(\|\|)|(!!)")
+_CELL_ATTRIBUTES = re.compile(r"^\s*[\w-]+\s*=[^|\[\]{}]*\|")
+
+
+def _wiki_tables(rows: list[str]) -> tuple[set[int], set[int]]:
+    """Lines that begin and that end a table of wiki text; a beginning without an end is none, and neither is an end without a beginning."""
+    begins, ends, unclosed = set(), set(), []
+    for k, line in enumerate(rows):
+        if _TABLE.match(line):
+            unclosed.append(k)
+        elif unclosed and _TABLE_END.match(line):
+            begins.add(unclosed.pop())
+            ends.add(k)
+    return begins, ends
+
+
+def _wiki_cells(s: str, head: bool) -> list[str]:
+    """The cells of a line without its first mark, without their attributes."""
+    cells, at = [], 0
+    for m in _CELL_MARK.finditer(s):
+        if m[1] or m[2] and head:
+            cells.append(s[at : m.start()])
+            at = m.end()
+    return [_CELL_ATTRIBUTES.sub("", c) for c in (*cells, s[at:])]
+
+
 def _line_tree(text: str, syntax: str) -> Element:
-    """Blocks of Markdown, wiki or plain text: headings, items, and paragraphs of the lines between."""
+    """Blocks of Markdown, wiki or plain text: headings, items, and paragraphs of the lines between; each row of a wiki table is a paragraph."""
     root = Element("page")
     rows = text.split("\n")
     run: list[str] = []
-    in_table = False
+    begins, ends = _wiki_tables(rows) if syntax == "wiki" and "{|" in text else (set(), set())
+    depth, caption = 0, False
 
     def flush() -> None:
         if run:
@@ -260,11 +288,24 @@ def _line_tree(text: str, syntax: str) -> Element:
             continue
         heading = item = None
         if syntax == "wiki":
-            if line.startswith("{|"):
-                in_table = True
-            if in_table:
-                in_table = not line.startswith("|}")
+            if k in begins:
+                depth += 1
+                caption = False
+                flush()
+                continue
+            if k in ends:
+                depth -= 1
                 flush()
+                line = _TABLE_END.sub("", line, count=1)
+                if not line.strip():
+                    continue
+            elif depth and line.lstrip()[0] in "|!":
+                line = line.lstrip()
+                if caption or line.startswith(("|-", "|+")):
+                    flush()
+                caption = line.startswith("|+")
+                if not line.startswith("|-"):
+                    run.extend(c for c in _wiki_cells(line[1 + caption :], line[0] == "!") if c.strip())
                 continue
             if m := re.match(r"^(={1,6})(.+?)\1\s*$", line):
                 heading = m[2]

@@ -167,6 +167,23 @@ def test_formula_alone_is_no_latex():
     assert p.syntaxes == [] and [e.text for e in markup.elements(p.root) if e.kind == "formula"] == ["x_1 + y"]
 
 
+def test_wiki_tables():
+    def parsed(text):
+        p = markup.parse(text)
+        return markup.render(p.root), [(e.kind, e.text) for e in markup.elements(p.root) if e.kind != "paragraph"]
+
+    table = "== Uno ==\n{| class=\"x\"\n|+ pie\n! style=\"a\" | alto !! [[A|ancho]]\n|- id=r\n| 25 || <math>q</math>\n| colspan=2 | {{n|a||b}} fin\n{|\n| dentro\n|}\n|-\n|\n* punto\n"
+    want = ("# Uno\n\npie\n\nalto ancho\n\n25 q fin\n\n$$q$$\n\ndentro\n\n- punto", [("heading", "Uno"), ("formula", "q"), ("item", "punto")])
+    text, found = parsed(table + "|}\n")
+    assert [x for x in text.split("\n\n") if x != "$$q$$"] == [x for x in want[0].split("\n\n") if x != "$$q$$"] and sorted(found) == sorted(want[1])
+    # an indented end, text after it, and a template's end that is none
+    assert parsed("{|\n| a\n  |} b\n== Dos ==\n* c") == ("a\n\nb\n\n# Dos\n\n- c", [("heading", "Dos"), ("item", "c")])
+    assert "d" in parsed("{|\n| {{x\n|}} d\n|}\n== Dos ==\n")[0]
+    # never closed: ordinary text
+    text, found = parsed("{| sola\nuna frase\n== Dos ==\n* c\n")
+    assert "sola una frase" in text and found == [("heading", "Dos"), ("item", "c")]
+
+
 def test_template_removal(spark):
     rows = [(i, "h" if i < 30 else None, f"<html><body><ul><li>menu</li></ul><h1>Title {i}</h1><p>{sentence(random.Random(i), 9)}</p></body></html>") for i in range(32)]
     rows += [(100, "h", None), (None, "h", "x"), (101, None, ""), (102, "g", "* not markup"), (0, "h", rows[0][2])]
