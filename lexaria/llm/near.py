@@ -27,15 +27,16 @@ class BallScheme:
 
     Two fingerprints with equal anchors and codes at Hamming distance up to ``radius`` share a variant, as each emits all codes within half
     the radius. At similarity s a code bit differs with probability (1 - s) / 2, so a table finds a pair with probability
-    s^anchors * P(Binomial(bits, (1 - s) / 2) <= radius).
+    s^anchors * P(Binomial(bits, (1 - s) / 2) <= radius). ``signature`` is the number of minimum hashes that give a bit to the text's signature.
     """
 
-    tables: int = 14
+    tables: int = 24
     anchors: int = 3
     bits: int = 7
     radius: int = 2
     shingle: int = 3
     seed: int = 20_240_301
+    signature: int = 140
 
     def recall(self, s: float) -> float:
         from math import comb
@@ -45,9 +46,12 @@ class BallScheme:
         return 1 - (1 - one) ** self.tables
 
     def most_bits(self, threshold: float) -> int:
-        """Bits of two signatures that texts of similarity ``threshold`` differ in at most, but for one pair in some thirty thousand (mean and four deviations)."""
-        k, q = self.tables * (self.anchors + self.bits), (1 - threshold) / 2
-        return int(np.ceil(k * q + 4 * np.sqrt(k * q * (1 - q))))
+        """Bits of two signatures that texts of similarity ``threshold`` differ in at most, but for one pair in some twenty million (mean and five and a half deviations)."""
+        k, q = self.signature_bits(), (1 - threshold) / 2
+        return int(np.ceil(k * q + 5.5 * np.sqrt(k * q * (1 - q))))
+
+    def signature_bits(self) -> int:
+        return min(self.signature, self.tables * (self.anchors + self.bits))
 
     def flips(self) -> np.ndarray:
         """All bit patterns with at most half the radius bits set."""
@@ -100,7 +104,7 @@ def _sketch(scheme: BallScheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = scheme.multipliers()
         hashes = _Hashes()
-        t, a, b = scheme.tables, scheme.anchors, scheme.bits
+        t, a, b, sig = scheme.tables, scheme.anchors, scheme.bits, scheme.signature_bits()
         weight = (np.uint64(1) << np.arange(b, dtype=np.uint64))[None, :]
         salt = _mix(np.arange(1, t + 1, dtype=np.uint64))
         for batch in batches:
@@ -120,7 +124,7 @@ def _sketch(scheme: BallScheme):
                 for k in range(a):
                     key = _mix(key + m[:, k])
                 ids.append(doc)
-                sigs.append(np.packbits(np.pad(((least.reshape(-1) >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), (0, -len(mul) % 64))).view(np.uint64))
+                sigs.append(np.packbits(np.pad(((least.reshape(-1)[:sig] >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), (0, -sig % 64))).view(np.uint64))
                 same.append(xxhash.xxh128_digest(s.tobytes()))
                 keys.append(key)
                 codes.append((((m[:, a:] >> np.uint64(3)) & np.uint64(1)) * weight).sum(axis=1))
@@ -192,7 +196,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     a, b = balls.alias("a"), balls.alias("b")
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     # one bit of each minimum hash: pairs whose signatures differ too much for the threshold are dropped before any set is shipped
-    words_ = -(-scheme.tables * (scheme.anchors + scheme.bits) // 64)
+    words_ = -(-scheme.signature_bits() // 64)
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(words_)), F.lit(0))
     met = met.join(first_sig.select(F.col("id").alias("id_a"), F.col("sig").alias("x")), "id_a").join(first_sig.select(F.col("id").alias("id_b"), F.col("sig").alias("y")), "id_b")
     met = checkpoint(met.where(apart <= scheme.most_bits(threshold)).select("id_a", "id_b").distinct())

@@ -51,6 +51,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert m.count() == 0 and p.count() == 0 and near.connected_classes(m, p).count() == 0
 
 
+def test_few_links_at_the_threshold_are_missed():
+    from statistics import NormalDist
+
+    s = near.BallScheme(shingle=3)
+    assert s.recall(0.6) > 0.99 and s.recall(0.7) > 0.9998
+    k, q = s.signature_bits(), 0.2
+    assert NormalDist(k * q, (k * q * (1 - q)) ** 0.5).cdf(s.most_bits(0.6)) > 1 - 1e-6
+    assert near.BallScheme(tables=2).signature_bits() == 20
+
+
 def test_ball_meets_in_the_middle():
     s = near.BallScheme(bits=7, radius=2)
     flips = {int(x) for x in s.flips()}
