@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexaria.session import stored
+
 
 def compact_state(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], prefix: str, group: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, group): ``<prefix>_rows`` and ``<prefix>_<name>`` for each sum.
@@ -62,10 +64,16 @@ def eager_join_aggregate(
     return j.groupBy(*[F.col(f"`{c}`") for c in group_by]).agg(*out)
 
 
-def heavy_keys(totals: DataFrame, key: str, measure: str, share: float) -> DataFrame:
+def own_figure(name: str) -> Column:
+    """A left figure of a key (``rows`` or a sum's name) from the joined states: the figure over the joined rows, divided by the rows that each left row met."""
+    return F.expr(f"{'joined_rows' if name == 'rows' else 'joined_l_' + name} div greatest(r_rows, 1)")
+
+
+def heavy_keys(totals: DataFrame, key: str, measure: str | Column, share: float) -> DataFrame:
     """Rows of ``totals`` whose ``measure`` is at least ``share`` of the sum over all rows (NULL keys count in the sum, but aren't returned).
 
-    The sum is one row, joined to the compact totals by a broadcast of that row.
+    The totals, one row per key, are stored whole, so that the inputs are read and joined once for both the sum and the keys. The sum is one row, joined to them by a broadcast of that row.
     """
-    whole = totals.agg(F.sum(measure).alias("__all"))
-    return totals.crossJoin(F.broadcast(whole)).where((F.col(measure) >= F.col("__all") * share) & F.col(key).isNotNull() & (F.col("__all") > 0)).drop("__all")
+    own = stored(totals.withColumn("__own", F.col(measure) if isinstance(measure, str) else measure))
+    whole = own.agg(F.sum("__own").alias("__all"))
+    return own.crossJoin(F.broadcast(whole)).where((F.col("__own") >= F.col("__all") * share) & F.col(key).isNotNull() & (F.col("__all") > 0)).drop("__own", "__all")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexaria.operators.skew import eager_join_aggregate, heavy_keys
+from lexaria.operators.skew import eager_join_aggregate, heavy_keys, own_figure
 from lexaria.session import table
 
 
@@ -19,9 +19,9 @@ def term_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id with at least 1 % of the rows of postings, term_id with at least 0.5 % of the sum of vocab.df."""
-    docs = heavy_keys(doc_totals(spark, d), "doc_id", "l_rows", 0.01).select(F.lit("doc_id").alias("campo"), F.col("doc_id").alias("clave"))
-    terms = heavy_keys(term_totals(spark, d), "term_id", "l_df", 0.005).select(F.lit("term_id").alias("campo"), F.col("term_id").alias("clave"))
+    """doc_id with at least 1 % of the rows of postings, term_id with at least 0.5 % of the sum of vocab.df; both from the joined states of the totals."""
+    docs = heavy_keys(doc_totals(spark, d), "doc_id", own_figure("rows"), 0.01).select(F.lit("doc_id").alias("campo"), F.col("doc_id").alias("clave"))
+    terms = heavy_keys(term_totals(spark, d), "term_id", own_figure("df"), 0.005).select(F.lit("term_id").alias("campo"), F.col("term_id").alias("clave"))
     return docs.unionAll(terms)
 
 

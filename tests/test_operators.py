@@ -40,6 +40,33 @@ def test_eager_join_equals_the_join(spark):
         skew.eager_join_aggregate(left, right, ["k"], how="cross")
 
 
+def test_p6_found_joins_and_reads_once(spark):
+    from lexaria.plans import skew_queries
+
+    for totals in (skew_queries.doc_totals, skew_queries.term_totals):
+        df = totals(spark, "/root/testdata/sf0.001").withColumn("own", skew.own_figure("rows"))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == 1 and plan.count("parquet") == 2
+        assert df.where("own <> l_rows").count() == 0
+    left = spark.createDataFrame([(1, 2), (1, None), (2, 5), (None, 7)], "k int, v long")
+    right = spark.createDataFrame([(1,), (1,), (1,), (None,)], "k int")
+    t = skew.eager_join_aggregate(left, right, ["k"], left_sums={"v": F.col("v")}, how="left")
+    got = {r["k"]: (r["a"], r["b"]) for r in t.select("k", skew.own_figure("rows").alias("a"), skew.own_figure("v").alias("b")).collect()}
+    assert got == {1: (2, 2), 2: (1, 5), None: (1, 7)}
+
+
+def test_stored_tables_can_be_discarded(spark):
+    from lexaria.session import discard, stored
+
+    t = stored(spark.range(5).repartition(2))
+    assert t.count() == 5 and t.schema == spark.range(1).schema
+    discard(spark.range(1))
+    discard(t)
+    import os
+
+    assert not os.path.exists(t._stored_at.removeprefix("file:"))
+
+
 def test_heavy_keys(spark):
     t = spark.createDataFrame([(1, 50), (2, 49), (None, 100), (3, 1)], "k int, n long")
     assert ids(skew.heavy_keys(t, "k", "n", 0.25), "k") == [1]
