@@ -59,7 +59,7 @@ def test_stored_tables_can_be_discarded(spark):
     from lexaria.session import discard, stored
 
     t = stored(spark.range(5).repartition(2))
-    assert t.count() == 5 and t.schema == spark.range(1).schema
+    assert t.count() == 5 and t.dtypes == spark.range(1).dtypes
     discard(spark.range(1))
     discard(t)
     import os
