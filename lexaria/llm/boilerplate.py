@@ -32,6 +32,8 @@ FURNITURE = frozenset(("menu", "path", "template"))
 MANY, UNSURE = 5, 3
 #: Chance that another page of the same host has the line, too, from which on a line is the host's template, and from which on it is more than chance.
 SHARED, COMMON = 0.5, 0.03
+#: A common line with a larger share teaches neither.
+DOUBTFUL = 0.3
 #: Fewest words of a sentence that marks a text, and most words of a line without sentences.
 LONG, SHORT = 4, 11
 
@@ -248,7 +250,7 @@ def weak_labels(page: Page) -> np.ndarray:
         elif x.item:
             if x.bullet or x.item > 1 or (nxt is not None and nxt.item > 1):
                 out[i] = 1
-        elif before_text and not x.bullet and (x.kind == "common" or x.fact.spread < MANY):
+        elif before_text and not x.bullet and (x.kind == "common" and x.fact.share < DOUBTFUL or x.kind != "common" and x.fact.spread < MANY):
             out[i] = 0
     return out
 
