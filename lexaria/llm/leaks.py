@@ -13,8 +13,8 @@ from lexaria.llm.words import plain_words
 
 #: Items that are matched in one pass over the corpus; more are done in blocks of this size. An item's grams take some kilobytes.
 BLOCK_ITEMS = 20_000
-#: Width in characters of a band of diagonals; neighbouring bands overlap by half.
-BAND = 64
+#: Width in words of a band of diagonals; neighbouring bands overlap by half.
+BAND = 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,9 +40,12 @@ class ItemIndex:
     """Everything the scan needs of one block of items with the same gram length."""
 
     ids: list
-    texts: list[list[str]]
-    runs: list[set[tuple[str, ...]]]
-    need: np.ndarray
+    words: list[np.ndarray]  # codes of each item's words
+    run_of: list[np.ndarray]  # number of the distinct run that begins at each word
+    runs: np.ndarray  # distinct runs of each item
+    need: np.ndarray  # of them, those that a leak must hold
+    least: np.ndarray  # grams that any run of the item holds at least: the bound of a band
+    vocabulary: dict[str, int]
     q: int
     codes: np.ndarray  # distinct codes, sorted
     first: np.ndarray  # range of each code in the occurrence arrays
@@ -62,52 +65,64 @@ def build_index(items: Sequence[tuple], n: int, share: float) -> list[ItemIndex]
         groups.setdefault(max(q for q in (9, 12, 16, 20, 24, 32) if q <= max(9, least)), []).append((item_id, w))
     out = []
     for q, own in sorted(groups.items()):
-        codes, item, pos = [], [], []
-        runs, need = [], []
+        codes, item, pos, texts, run_of, runs, need, bound = [], [], [], [], [], [], [], []
+        vocabulary: dict[str, int] = {}
         for k, (_, w) in enumerate(own):
-            runs.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
-            need.append(int(np.ceil(share * len(runs[-1]) - 1e-9)))
+            numbers: dict[tuple, int] = {}
+            run_of.append(np.array([numbers.setdefault(tuple(w[i : i + n]), len(numbers)) for i in range(len(w) - n + 1)]))
+            runs.append(len(numbers))
+            need.append(max(1, int(np.ceil(share * len(numbers) - 1e-9))))
+            texts.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], dtype=np.int32))
             buf = " ".join(w).encode()
             lengths = np.array([len(x.encode()) + 1 for x in w])
-            starts = (np.cumsum(lengths) - lengths)[: len(w) - n + 1]
-            codes.append(_gram_codes(buf + b"\n" * (q + 8), starts, q))
-            item.append(np.full(len(starts), k))
-            pos.append(starts)
+            starts = np.cumsum(lengths) - lengths
+            ends = starts + lengths - 1
+            # grams that begin at a word of the run and end within it
+            inside = [max(1, int(np.searchsorted(starts[i : i + n], ends[i + n - 1] - q, side="right"))) for i in range(len(w) - n + 1)]
+            bound.append(min(inside))
+            first = np.flatnonzero(starts + q <= len(buf)) if len(buf) >= q else np.zeros(1, dtype=np.int64)
+            codes.append(_gram_codes(buf + b"\n" * (q + 8), starts[first], q))
+            item.append(np.full(len(first), k))
+            pos.append(first)
         codes, item, pos = np.concatenate(codes), np.concatenate(item), np.concatenate(pos)
         order = np.argsort(codes, kind="stable")
         distinct, first = np.unique(codes[order], return_index=True)
         bits = np.zeros(1 << 20, dtype=bool)
         bits[(distinct >> np.uint64(44)).astype(np.int64)] = True
-        out.append(ItemIndex([x[0] for x in own], [x[1] for x in own], runs, np.maximum(1, np.array(need)), q, distinct, np.r_[first, len(order)], item[order], pos[order], bits))
+        out.append(ItemIndex([x[0] for x in own], texts, run_of, np.array(runs), np.array(need), np.array(bound), vocabulary, q, distinct, np.r_[first, len(order)], item[order], pos[order], bits))
     return out
 
 
-def banded_distance(a: Sequence[str], b: Sequence[str], shift: int, width: int) -> int:
-    """Edit distance in words of ``a`` within ``b`` (any part of ``b`` may be the counterpart), on diagonals ``shift`` +- ``width``. Only the words of ``b`` under the band are looked at."""
-    lo, hi = max(0, shift - width), max(0, min(len(b), shift + width + len(a)))
-    b, shift = b[lo:hi], shift - lo
-    codes: dict[str, int] = {}
-    x = np.array([codes.setdefault(w, len(codes)) for w in a])
-    y = np.full(len(a) + 2 * width + 2, -1)
-    steps = np.arange(2 * width + 1)
-    # y[k] is the word of b on the band's lowest diagonal at row k
-    first = shift - width
-    for j in range(max(0, first), min(len(b), first + len(y))):
-        y[j - first] = codes.get(b[j], -2)
-    big = len(a) + len(b) + 1
-    at = steps + first
-    row = np.where((at >= 0) & (at <= len(b)), 0, big)
-    for i in range(len(a)):
-        at += 1
-        under = y[i : i + len(steps)]
-        new = np.minimum(np.where(under == -1, big, row + (under != x[i])), np.append(row[1:], big) + 1)
+def banded_alignment(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int) -> tuple[int, np.ndarray]:
+    """(edits, held): aligns the words of ``item`` with those of ``doc`` on the diagonals (document position less item position) from ``lo`` to ``hi``.
+
+    ``edits`` is the least number of word edits that bring the item into the document there (any part of the document under the band may be the counterpart); ``held`` tells for each item
+    position whether the run of ``n`` words from it stands unchanged on one of the diagonals.
+    """
+    m, width = len(item), hi - lo + 1
+    at = np.arange(m)[:, None] + np.arange(lo, hi + 1)[None, :]
+    inside = (at >= 0) & (at < len(doc))
+    equal = inside & (doc[np.clip(at, 0, max(0, len(doc) - 1))] == item[:, None]) if len(doc) else np.zeros((m, width), dtype=bool)
+    held = np.zeros(max(0, m - n + 1), dtype=bool)
+    if m >= n:
+        whole = equal[: m - n + 1].copy()
+        for k in range(1, n):
+            whole &= equal[k : m - n + 1 + k]
+        held = whole.any(axis=1)
+    steps = np.arange(width)
+    big = m + len(doc) + width + 1
+    ends = np.arange(lo, hi + 1)
+    row = np.where((ends >= 0) & (ends <= len(doc)), 0, big)
+    for i in range(m):
+        ends = ends + 1
+        new = np.minimum(np.where(inside[i], row + ~equal[i], big), np.append(row[1:], big) + 1)
         row = np.minimum.accumulate(new - steps) + steps
-        row[(at < 0) | (at > len(b))] = big
-    return int(min(row.min(), len(a)))
+        row[(ends < 0) | (ends > len(doc))] = big
+    return int(min(row.min(), m)), held
 
 
 def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
-    """(id, item_id, runs, shared, edits) of all documents of a batch that pass the gram bound."""
+    """(id, item_id, runs, shared, edits) of all documents of a batch with a region that aligns well enough."""
     lists = [plain_words(t) if t else [] for t in texts]
     parts, doc_start, at = [], [], 0
     for w in lists:
@@ -122,6 +137,7 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
     doc_start = np.array(doc_start)
     starts = np.r_[0, np.flatnonzero((a == 32) | (a == 10))[:-1] + 1]
     first_word = np.searchsorted(starts, doc_start)
+    half = max(1, band // 2)
     for ix in indexes:
         codes = _gram_codes(buf, starts, ix.q)
         maybe = np.flatnonzero(ix.filter[(codes >> np.uint64(44)).astype(np.int64)])
@@ -133,43 +149,51 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
             continue
         times = ix.first[k + 1] - ix.first[k]
         occ = np.repeat(ix.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        where = np.repeat(starts[maybe], times)
-        doc = np.searchsorted(doc_start, where, side="right") - 1
-        item, pos = ix.item[occ], ix.pos[occ]
-        diagonal = where - doc_start[doc] - pos
         word = np.repeat(maybe, times)
-        # distinct item positions that a document hits on any band: the bound; a missing run costs at least one position
+        doc = np.searchsorted(doc_start, starts[word], side="right") - 1
+        item, pos = ix.item[occ], ix.pos[occ]
         pair = doc * len(ix.ids) + item
-        key = np.unique(pair * (int(ix.pos.max()) + 1) + pos)
-        pairs, hits = np.unique(key // (int(ix.pos.max()) + 1), return_counts=True)
-        kept = pairs[hits >= ix.need[pairs % len(ix.ids)]]
-        if not len(kept):
+        step = (word - first_word[doc] - pos) // half
+        # overlapping bands: each hit counts in the band of two half widths that begins with its own and in the one before; an item position counts once in a band
+        rows = np.unique(np.stack([np.r_[pair, pair], np.r_[step, step - 1], np.r_[pos, pos]], axis=1), axis=0)
+        first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        count = np.diff(np.r_[first, len(rows)])
+        bands = rows[first, :2]
+        keep = count >= ix.least[bands[:, 0] % len(ix.ids)]
+        bands, count, rows = bands[keep], count[keep], rows[np.repeat(keep, count)]
+        if not len(bands):
             continue
-        order = np.argsort(pair, kind="stable")
-        lo, hi = np.searchsorted(pair[order], kept), np.searchsorted(pair[order], kept, side="right")
-        for p, l, h in zip(kept.tolist(), lo.tolist(), hi.tolist()):
+        # the positions that the kept bands of a pair hold together: each contained run gives one at least
+        places = np.unique(rows[:, [0, 2]], axis=0)
+        pairs, hits = np.unique(places[:, 0], return_counts=True)
+        pairs = pairs[hits >= ix.need[pairs % len(ix.ids)]]
+        lo, hi = np.searchsorted(bands[:, 0], pairs), np.searchsorted(bands[:, 0], pairs, side="right")
+        coded: tuple[int, np.ndarray] = (-1, np.zeros(0))
+        for p, l, h in zip(pairs.tolist(), lo.tolist(), hi.tolist()):
             d, i = divmod(p, len(ix.ids))
-            own = order[l:h]
-            # overlapping bands: each hit counts in the band that begins at or before it and in the one half a band earlier
-            half = diagonal[own] // (band // 2)
-            bands, count = np.unique(np.r_[half, half - 1], return_counts=True)
-            centre = int((bands[count.argmax()] + 1) * (band // 2))
-            w, v = lists[d], ix.texts[i]
-            at_word = word[own] - first_word[d]
-            # the word of the document that lies under the item's beginning on the band's central diagonal
-            shift = int(np.searchsorted(starts[first_word[d] : first_word[d] + len(w)] - doc_start[d], max(0, centre)))
-            shared = {run for j in at_word.tolist() if (run := tuple(w[j : j + n])) in ix.runs[i]}
-            yield ids[d], ix.ids[i], len(ix.runs[i]), len(shared), banded_distance(v, w, shift, band // 4)
+            if coded[0] != d:
+                coded = d, np.array([ix.vocabulary.get(x, -1) for x in lists[d]], dtype=np.int32)
+            own = bands[l:h, 1]
+            held, edits = np.zeros(len(ix.run_of[i]), dtype=bool), len(ix.words[i])
+            # neighbouring bands make one region
+            cuts = np.flatnonzero(np.diff(own) > 2) + 1
+            for part in np.split(own, cuts):
+                e, there = banded_alignment(ix.words[i], coded[1], int(part[0]) * half, (int(part[-1]) + 2) * half - 1, n)
+                held |= there
+                edits = min(edits, e)
+            shared = len(np.unique(ix.run_of[i][held]))
+            if shared >= ix.need[i]:
+                yield ids[d], ix.ids[i], int(ix.runs[i]), shared, edits
 
 
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, n: int = 5, share: float = 0.4, band: int = BAND) -> DataFrame:
     """(id, item, runs, shared, edits): documents that contain at least ``share`` of an item's distinct runs of ``n`` words.
 
-    Texts are compared without accents, case and punctuation. Q-gram lemma filter: a document with k runs of an item has k
-    character grams (no longer than any of the item's runs) that begin at the same k word positions of the item; grams are counted
-    over overlapping bands of diagonals, and pairs below the bound for ``share`` are dropped, which loses none. What remains is verified: the
-    strongest band by banded alignment (``edits``: word edits that the item needs to lie in the document there), and the shared runs
-    exactly.
+    Texts are compared without accents, case and punctuation. Q-gram lemma filter: character grams that begin at words and are no longer than any of the item's runs are
+    looked up, and counted over overlapping bands of ``band`` diagonals. A band that holds a whole run of the item holds at least the fewest grams that any of its runs has;
+    bands below that are dropped, and pairs whose kept bands together hold fewer item positions than the runs they would need, so nothing is lost. The regions of neighbouring kept bands are
+    verified by banded alignment in words, which gives ``shared``, the item's distinct runs that stand unchanged under a band, and ``edits``, the word edits that the whole
+    item needs to lie in the best region; pairs with too few runs are dropped.
 
     The items are the stated query set: they are read in blocks of 20,000 by id and each block is matched against all documents where these are read, without
     a shuffle, so an item that leaks into a third of the corpus, or a source with a third of it, makes no task longer. NULL texts and items with fewer than ``n`` words match nothing; items with equal
@@ -183,7 +207,7 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     def matcher(indexes: list[ItemIndex]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [r for r in _scan(b.column(0).to_pylist(), b.column(1).to_pylist(), indexes, n, band) if r[3] >= share * r[2] - 1e-9]
+                rows = list(_scan(b.column(0).to_pylist(), b.column(1).to_pylist(), indexes, n, band))
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.record_batch([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=names)
 

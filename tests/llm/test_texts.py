@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,12 +109,47 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
 
 
-def test_banded_distance():
+def aligned(a, b, lo, hi, n=2):
+    codes = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in t], dtype=np.int32) for t in (a, b))
+    edits, held = leaks.banded_alignment(x, y, lo, hi, n)
+    return edits, held.tolist()
+
+
+def test_banded_alignment():
     a, b = "uno dos tres cuatro cinco".split(), "x y uno dos TRES cuatro cinco z".split()
-    assert leaks.banded_distance(a, b, 2, 3) == 1
-    assert leaks.banded_distance(a, a, 0, 2) == 0
-    assert leaks.banded_distance(a, [], 0, 2) == len(a)
-    assert leaks.banded_distance(a, "x y uno dos cuatro cinco".split(), 2, 3) == 1
+    assert aligned(a, b, -1, 5) == (1, [True, False, False, True])
+    assert aligned(a, a, -2, 2) == (0, [True] * 4)
+    assert aligned(a, [], -2, 2) == (len(a), [False] * 4)
+    assert aligned(a, "x y uno dos cuatro cinco".split(), -1, 5) == (1, [True, False, False, True])
+    rnd = random.Random(5)
+    for _ in range(150):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(3, 14))] for _ in range(2))
+        lo = rnd.randint(-12, 12)
+        hi = lo + rnd.randint(0, 9)
+        held = [any(0 <= i + d and b[i + d : i + d + 3] == a[i : i + 3] for d in range(lo, hi + 1)) for i in range(len(a) - 2)]
+        # cell (i, j) of the alignment lies on diagonal j - i
+        best = {(0, j): 0 for j in range(len(b) + 1) if lo <= j <= hi}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if lo <= j - i <= hi and i:
+                    ways = [best.get((i - 1, j), 99) + 1]
+                    if j:
+                        ways += [best.get((i - 1, j - 1), 99) + (a[i - 1] != b[j - 1]), best.get((i, j - 1), 99) + 1]
+                    best[(i, j)] = min(ways)
+        edits = min([len(a), *(v for (i, _), v in best.items() if i == len(a))])
+        assert aligned(a, b, lo, hi, 3) == (edits, held)
+
+
+def test_leaks_come_from_the_alignment(spark, monkeypatch):
+    item = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce"
+    # moved parts lie on far diagonals, the edited copy on one
+    docs = [(1, "a b " + item), (2, "seis siete ocho nueve diez once doce " + "z " * 60 + "uno dos tres cuatro cinco seis"), (3, item.replace("seis", "X")), (4, "uno dos tres cuatro z cinco seis siete ocho")]
+    rows = list(leaks._scan([d for d, _ in docs], [t for _, t in docs], leaks.build_index([(7, item)], 5, 0.4), 5, leaks.BAND))
+    assert [(r[0], r[2], r[3]) for r in rows] == [(1, 8, 8), (2, 8, 5)]
+    assert rows[0][4] == 0 and rows[1][4] == 5
+    monkeypatch.setattr(leaks, "banded_alignment", lambda a, b, lo, hi, n: (0, np.zeros(len(a) - n + 1, dtype=bool)))
+    assert not list(leaks._scan([1], [docs[0][1]], leaks.build_index([(7, item)], 5, 0.4), 5, leaks.BAND))
 
 
 # languages
