@@ -72,8 +72,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
 
     Pieces have at most ``limit`` tokens and neighbours share ``overlap`` tokens. A token that is part of a character at a cut
     belongs wholly to the text on both sides as bytes; cuts inside a character are only taken where the window has no other.
-    ``start`` is the first token's number; a text within the limit is one piece. A text of at most ``limit`` bytes can't exceed the
-    limit, as a token has at least one byte: it isn't tokenized and its ``n_tokens`` is NULL. NULL texts give no rows, empty
+    ``start`` is the first token's number; a text within the limit is one piece. NULL texts give no rows, empty
     texts one empty piece; repeated rows are split once per row.
     """
     if not 0 <= overlap < limit:
@@ -89,10 +88,6 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int, overlap:
                 if text is None:
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) <= limit:
-                    for x, v in zip(out, (doc, 0, 1, 0, None, text)):
-                        x.append(v)
-                    continue
                 ends = np.cumsum(lengths[np.array(e.encode_ordinary(text), dtype=np.int64)])
                 n = len(ends)
                 offsets = np.r_[0, ends]

@@ -64,6 +64,7 @@ def test_split_texts_round_trip(spark):
     for r in rows:
         by.setdefault(r["doc_id"], {})[r["piece"]] = r
     assert set(by) == {1, 3, 4, 5, 6} and by[3][0]["piece_text"] == ""
+    assert by[3][0]["n_tokens"] == 0 and by[4][0]["n_tokens"] == len(e.encode_ordinary("corto"))
     for doc, text in texts:
         if text and len(text.encode()) > 100:
             ids = e.encode_ordinary(text)
