@@ -9,90 +9,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def _flush(stack: list, depth: int, out: tuple[list, list, list]) -> None:
+class _Out:
+    """Closed prefixes: the suffix that each is the beginning of, its length, count and records."""
+
+    def __init__(self):
+        self.rows: tuple[list, list, list, list] = ([], [], [], [])
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        suffix, depth, cf, df = self.rows
+        flat = [x for s, n in zip(suffix, depth) for x in s[:n]]
+        grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(depth)], pa.int32()), pa.array(flat, kind))
+        self.rows = ([], [], [], [])
+        return pa.record_batch([grams, pa.array(cf, pa.int64()), pa.array(df, pa.int64())], names=["gram", "cf", "df"])
+
+
+def _flush(stack: list, depth: int, out: _Out) -> None:
     """Closes the prefixes deeper than ``depth``; each hands its count and records to the prefix one shorter."""
+    suffix_, depth_, cf_, df_ = out.rows
     while len(stack) > depth:
-        prefix, cf, ids = stack.pop()
-        ids = np.unique(np.concatenate(ids)) if len(ids) > 1 else ids[0]
-        out[0].append(prefix)
-        out[1].append(cf)
-        out[2].append(len(ids))
+        suffix, cf, parts = stack.pop()
+        ids = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        suffix_.append(suffix)
+        depth_.append(len(stack) + 1)
+        cf_.append(cf)
+        df_.append(len(ids))
         if stack:
             stack[-1][1] += cf
             stack[-1][2].append(ids)
 
 
-def _single(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """As ``_stacked`` for suffixes of one term, where every prefix closes at once, in whole columns. A run that goes on in the next batch gives two partial counts."""
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        term = b.column("first").to_numpy(zero_copy_only=False)
-        ids = b.column("rid").to_numpy(zero_copy_only=False)
-        w = b.column("w").to_numpy(zero_copy_only=False)
-        new_term = np.r_[True, term[1:] != term[:-1]]
-        new_id = np.r_[True, ids[1:] != ids[:-1]] | new_term
-        if last == (term[0], ids[0]):
-            new_id[0] = False
-        last = (term[-1], ids[-1])
-        starts = np.flatnonzero(new_term)
-        gram = pa.array(term[starts], kind)
-        yield pa.record_batch(
-            [pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1), pa.int32()), gram), pa.array(np.add.reduceat(w, starts)), pa.array(np.add.reduceat(new_id.astype(np.int64), starts))], names=["gram", "cf", "df"]
-        )
-
-
 def _stacked(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Counts of all prefixes of suffixes that arrive in reverse lexicographic order: only the open prefixes are held."""
-    stack: list = []
-    last: tuple = ()
-    out: tuple[list, list, list] = ([], [], [])
-
-    def emit():
-        batch = pa.record_batch([pa.array([list(p) for p in out[0]], pa.list_(kind)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["gram", "cf", "df"])
-        for x in out:
-            x.clear()
-        return batch
+    """Counts of all prefixes of suffixes that arrive in reverse lexicographic order, by record within equal ones: only the open prefixes are held.
 
+    Equal suffixes are summed and their records made distinct by whole columns; the stack then works once for each different suffix. Each entry has its suffix, count, and
+    lists of records, which are merged when it closes.
+    """
+    stack: list = []
+    last = None
+    out = _Out()
     for b in batches:
         if not b.num_rows:
             continue
         ids = b.column("rid").to_numpy(zero_copy_only=False)
         w = b.column("w").to_numpy(zero_copy_only=False)
         suffixes = b.column("suffix")
-        # runs of equal suffixes
-        rows = suffixes.to_pylist()
-        change = np.array([i for i in range(1, len(rows)) if rows[i] != rows[i - 1]], dtype=np.int64)
-        firsts = [tuple(rows[i]) for i in np.r_[0, change].tolist()]
-        starts = np.r_[0, change].astype(np.int64)
-        sums = np.add.reduceat(w, starts)
-        ends = np.r_[starts[1:], len(ids)]
-        for s, start, end, cf in zip(firsts, starts.tolist(), ends.tolist(), sums.tolist()):
-            lcp = 0
-            while lcp < len(s) and lcp < len(last) and s[lcp] == last[lcp]:
-                lcp += 1
-            _flush(stack, lcp, out)
-            for n in range(lcp + 1, len(s) + 1):
-                stack.append([s[:n], 0, []])
-            stack[-1][1] += cf
-            stack[-1][2].append(np.unique(ids[start:end]))
+        ends = suffixes.offsets.to_numpy().astype(np.int64)
+        size = np.diff(ends)
+        codes = suffixes.values.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        most = int(size.max())
+        at = ends[:-1, None] + np.arange(most)
+        table = np.where(np.arange(most) < size[:, None], codes[np.minimum(at, len(codes) - 1)], -1)
+        # common beginning with the row before, in terms
+        common = np.r_[0, np.logical_and.accumulate((table[1:] == table[:-1]) & (table[1:] >= 0), axis=1).sum(axis=1)]
+        new = np.r_[True, (common[1:] < size[1:]) | (size[1:] != size[:-1])]
+        new_id = np.r_[True, ids[1:] != ids[:-1]] | new
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(w, starts).tolist()
+        id_starts = np.flatnonzero(new_id)
+        own = np.searchsorted(id_starts, np.r_[starts, len(ids)])
+        distinct = ids[id_starts]
+        firsts = suffixes.take(pa.array(starts)).to_pylist()
+        lcps = common[starts].tolist()
+        for k, (s, cf, lcp, lo, hi) in enumerate(zip(firsts, sums, lcps, own[:-1].tolist(), own[1:].tolist())):
+            if k == 0 and last is not None:
+                while lcp < len(s) and lcp < len(last) and s[lcp] == last[lcp]:
+                    lcp += 1
+            if lcp < len(stack):
+                _flush(stack, lcp, out)
+            for _ in range(len(stack), len(s)):
+                stack.append([s, 0, []])
+            top = stack[-1]
+            top[1] += cf
+            top[2].append(distinct[lo:hi])
             last = s
-        if len(out[0]) > 20_000:
-            yield emit()
+        if len(out.rows[0]) > 20_000:
+            yield out.batch(kind)
     _flush(stack, 0, out)
-    if out[0]:
-        yield emit()
+    if out.rows[0]:
+        yield out.batch(kind)
 
 
-def ngram_frequencies(sequences: DataFrame, id_col: str, tokens_col: str, *, max_n: int = 3, weight_col: str | None = None, salts: int | None = None) -> DataFrame:
+def ngram_frequencies(sequences: DataFrame, id_col: str, tokens_col: str, *, max_n: int = 3, weight_col: str | None = None, salts: int | None = None, routed: bool = False) -> DataFrame:
     """(gram ARRAY, cf, df) of all n-grams up to ``max_n`` terms: occurrences (or sum of ``weight_col``), and distinct records.
 
     Suffix-sorted counting: each position emits its suffix cut to ``max_n`` terms, once, and not every n-gram; suffixes are
     routed by their first term, sorted in reverse lexicographic order, and one pass with a stack gives the counts and record sets
     of all prefixes. A first term's suffixes are also spread over ``salts`` parts by record (default: the shuffle's number of
     partitions): a record's suffixes stay together, so the parts' record counts add up and no term gathers in one task; the partial
-    counts are then added.
+    counts are then added. ``routed``: the caller's rows have one term each and are spread by term and record already, so that they aren't shuffled again.
 
     NULL sequences, empty ones and NULL ids give no rows; NULL terms inside a sequence are removed first; NULL weights count 0.
     Repeated rows with one id count as one record. Ids may be of any type (they are hashed to 64 bits unless integral).
@@ -104,21 +108,21 @@ def ngram_frequencies(sequences: DataFrame, id_col: str, tokens_col: str, *, max
     rows = sequences.where(F.col(id_col).isNotNull() & F.col(tokens_col).isNotNull()).select(rid.alias("rid"), F.col(tokens_col).alias("t"), w.alias("w"))
     if max_n == 1:
         # outer, so that no filter on the array moves below the caller's own shuffle and keeps it from being reused
-        rows = rows.select(F.explode_outer("t").alias("first"), "rid", "w").where("first IS NOT NULL")
+        rows = rows.select(F.explode_outer("t").alias("first"), "rid", "w").where("first IS NOT NULL").withColumn("suffix", F.array("first"))
     else:
         at = F.sequence(F.lit(1), F.size("t"))
         rows = rows.withColumn("t", F.array_compact("t")).where(F.size("t") > 0).select(F.explode(F.transform(at, lambda i: F.slice(F.col("t"), i, max_n))).alias("suffix"), "rid", "w").withColumn("first", F.col("suffix")[0])
     spark = sequences.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = salts or parts
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")).repartition(parts, "first", "salt").drop("salt")
+    if not routed:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts or parts)).cast("int")).repartition(parts, "first", "salt").drop("salt")
+    elif max_n > 1:
+        raise ValueError("only suffixes of one term can come routed")
     arrow = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
-    if max_n == 1:
-        rows, one_pass = rows.sortWithinPartitions(F.col("first").desc(), "rid"), lambda b: _single(b, arrow)
-    else:
-        rows, one_pass = rows.drop("first").sortWithinPartitions(F.col("suffix").desc(), "rid"), lambda b: _stacked(b, arrow)
+    order = F.col("first") if max_n == 1 else F.col("suffix")
+    rows = rows.sortWithinPartitions(order.desc(), "rid").select("suffix", "rid", "w")
     fields = [T.StructField("gram", T.ArrayType(kind)), T.StructField("cf", T.LongType()), T.StructField("df", T.LongType())]
-    partial = rows.mapInArrow(one_pass, T.StructType(fields))
+    partial = rows.mapInArrow(lambda b: _stacked(b, arrow), T.StructType(fields))
     return partial.groupBy("gram").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 

@@ -28,9 +28,9 @@ def p1_log_odds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _term_frequencies(clean: DataFrame) -> DataFrame:
-    """(canon, cf, df) of every term, by suffix-sorted counting over the term of each posting."""
+    """(canon, cf, df) of every term, by suffix-sorted counting over the term of each posting. The clean postings are spread by term and document already."""
     seq = term_doc_counts(clean).select("doc_id", F.array("canon").alias("t"), "tf")
-    return ngram_frequencies(seq, "doc_id", "t", max_n=1, weight_col="tf").select(F.col("gram")[0].alias("canon"), "cf", "df")
+    return ngram_frequencies(seq, "doc_id", "t", max_n=1, weight_col="tf", routed=True).select(F.col("gram")[0].alias("canon"), "cf", "df")
 
 
 def _blocks(clean: DataFrame, published: DataFrame) -> DataFrame:

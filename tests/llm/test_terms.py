@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,29 @@ def test_ngrams_equal_brute_force(spark, max_n, salts):
     assert got == {g: (cf[g], len(recs[g])) for g in cf}
 
 
+def test_stack_over_batch_ends():
+    import pyarrow as pa
+
+    from lexaria.llm.frequency import _stacked
+
+    rnd = random.Random(9)
+    for depth in (1, 3):
+        rows = sorted({(tuple(rnd.choice("abc") for _ in range(rnd.randint(1, depth))), rnd.randrange(5)) for _ in range(60)}, key=lambda r: r[1])
+        rows = sorted(rows + rows[:20], key=lambda r: r[0], reverse=True)
+        cf, recs = Counter(), defaultdict(set)
+        for s, rid in rows:
+            for n in range(1, len(s) + 1):
+                cf[s[:n]] += 2
+                recs[s[:n]].add(rid)
+        kinds = pa.schema([("suffix", pa.list_(pa.string())), ("rid", pa.int64()), ("w", pa.int64())])
+        cuts = [0, 1, 2, 7, 8, 30, len(rows)]
+        # equal suffixes are in order of record
+        rows = [r for _, g in groupby(rows, key=lambda r: r[0]) for r in sorted(g, key=lambda r: r[1])]
+        batches = [pa.record_batch([[list(s) for s, _ in rows[a:b]], [r for _, r in rows[a:b]], [2] * (b - a)], schema=kinds) for a, b in zip(cuts, cuts[1:])]
+        got = {tuple(g): (c, d) for b in _stacked(iter(batches), pa.string()) for g, c, d in zip(*(x.to_pylist() for x in b.columns))}
+        assert got == {g: (cf[g], len(recs[g])) for g in cf}
+
+
 def test_weights_marks_and_empty(spark):
     df = spark.createDataFrame([(1, [5], 3), (2, [5], None), (2, [6], 1), (3, [5], 4)], "id long, t array<long>, n int")
     got = {r["gram"][0]: (r["cf"], r["df"]) for r in ngram_frequencies(df, "id", "t", max_n=1, weight_col="n").collect()}
@@ -87,3 +111,7 @@ def test_weights_marks_and_empty(spark):
     marks = {r["gram"][0]: r["marca"] for r in mark_useless(ngram_frequencies(df, "id", "t", max_n=1, weight_col="n"), 3).collect()}
     assert marks == {5: "comun", 6: "raro"}
     assert ngram_frequencies(df.limit(0), "id", "t").count() == 0
+    routed = ngram_frequencies(df.repartition(3, "t", "id"), "id", "t", max_n=1, weight_col="n", routed=True)
+    assert {r["gram"][0]: (r["cf"], r["df"]) for r in routed.collect()} == {5: (7, 3), 6: (1, 1)}
+    with pytest.raises(ValueError):
+        ngram_frequencies(df, "id", "t", routed=True)
