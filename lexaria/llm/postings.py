@@ -51,7 +51,8 @@ def clean_postings(postings: DataFrame, terminos: DataFrame | None = None) -> Da
         rows = rows.withColumn("canon", F.col("term_id"))
     n = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("at", F.coalesce(F.unix_micros(F.col("cargado_en").cast("timestamp")), F.lit(-(2**62)))).drop("cargado_en")
-    rows = rows.repartition(n, "canon", "doc_id")
+    # the term_id only tells aliases apart: NULL where it is the canonical one, which packs well
+    rows = rows.withColumn("term_id", F.nullif("term_id", "canon")).repartition(n, "canon", "doc_id")
     keys = ["canon", "doc_id", "bloque", "term_id"]
     return rows.groupBy(*keys, "at").agg(F.max("freq").alias("freq")).groupBy(*keys).agg(F.max_by("freq", "at").alias("freq")).drop("term_id")
 

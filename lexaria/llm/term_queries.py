@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexaria.llm.distinctive import distinctive_terms
 from lexaria.llm.frequency import mark_useless, ngram_frequencies
 from lexaria.llm.postings import canonical_terms, clean_postings, n_documents, term_doc_counts
-from lexaria.session import table
+from lexaria.session import stored, table
 
 
 def _counts(spark: SparkSession, d: str):
     postings, terminos = table(spark, d, "postings"), table(spark, d, "terminos")
-    return term_doc_counts(clean_postings(postings, terminos)), canonical_terms(terminos)[0], n_documents(postings)
+    # stored, as both the counts per term and the scores read them
+    return stored(term_doc_counts(clean_postings(postings, terminos))), canonical_terms(terminos)[0], n_documents(postings)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
