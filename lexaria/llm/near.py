@@ -14,11 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lexaria.llm.words import words
-from lexaria.session import checkpoint
+from lexaria.session import checkpoint, stored
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Bits of the filter on candidate ids. It is of this size whatever the data's size: fuller, it only lets more texts through to the exact join.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the filter on candidate ids, which has eight for each of them. At most it takes 16 MB; fuller, it only lets more texts through to the exact join.
+FILTER_BITS = (1 << 20, 1 << 27)
+#: Variants in one partition of the join that finds candidates.
+PARTITION_VARIANTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -27,12 +29,13 @@ class BallScheme:
 
     Two fingerprints with equal anchors and codes at Hamming distance up to ``radius`` share a variant, as each emits all codes within half
     the radius. At similarity s a code bit differs with probability (1 - s) / 2, so a table finds a pair with probability
-    s^anchors * P(Binomial(bits, (1 - s) / 2) <= radius). ``signature`` is the number of minimum hashes that give a bit to the text's signature.
+    s^anchors * P(Binomial(bits, (1 - s) / 2) <= radius). ``signature`` is the number of minimum hashes that give a bit to the text's signature; with 0
+    no pair is dropped by its signatures.
     """
 
-    tables: int = 24
+    tables: int = 26
     anchors: int = 3
-    bits: int = 7
+    bits: int = 5
     radius: int = 2
     shingle: int = 3
     seed: int = 20_240_301
@@ -89,26 +92,16 @@ def shingles(text: str, n: int, hashes: dict) -> np.ndarray:
     return np.unique(x)
 
 
-def _short(s: np.ndarray) -> bytes:
-    """The upper five bytes of each hash: two different shingles of a pair of texts fall together once in some ten million pairs."""
-    return np.unique(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _long(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).reshape(-1)
-
-
 def _sketch(scheme: BallScheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = scheme.multipliers()
         hashes = _Hashes()
         t, a, b, sig = scheme.tables, scheme.anchors, scheme.bits, scheme.signature_bits()
         weight = (np.uint64(1) << np.arange(b, dtype=np.uint64))[None, :]
+        free = ~np.uint64((1 << b) - 1)
         salt = _mix(np.arange(1, t + 1, dtype=np.uint64))
         for batch in batches:
-            ids, same, keys, codes, sigs = [], [], [], [], []
+            ids, same, keys, sigs = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, scheme.shingle, hashes) if text else ()
                 if doc is None or not len(s):
@@ -126,11 +119,9 @@ def _sketch(scheme: BallScheme):
                 ids.append(doc)
                 sigs.append(np.packbits(np.pad(((least.reshape(-1)[:sig] >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), (0, -sig % 64))).view(np.uint64))
                 same.append(xxhash.xxh128_digest(s.tobytes()))
-                keys.append(key)
-                codes.append((((m[:, a:] >> np.uint64(3)) & np.uint64(1)) * weight).sum(axis=1))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(same, pa.binary()), _lists(keys), _lists(codes), _lists(sigs)], names=["id", "same", "keys", "codes", "sig"]
-            )
+                # a table's anchors and, in the lowest bits, its code
+                keys.append((key & free) | (((m[:, a:] >> np.uint64(3)) & np.uint64(1)) * weight).sum(axis=1))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), _lists(keys), _lists(sigs)], names=["id", "same", "keys", "sig"])
 
     return run
 
@@ -144,13 +135,14 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def _variants(scheme: BallScheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = scheme.flips()
+        free = ~np.uint64((1 << scheme.bits) - 1)
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column("id").to_numpy()
             keys = b.column("keys").flatten().to_numpy().view(np.uint64)
-            codes = b.column("codes").flatten().to_numpy().view(np.uint64)
-            ball = _mix(keys[:, None] + _mix((codes[:, None] ^ flips[None, :]) + _C)).reshape(-1)
+            # the free bits of keys and codes don't overlap, so a flip of the code is one of the key
+            ball = _mix((keys & free)[:, None] + _mix(((keys & ~free)[:, None] ^ flips[None, :]) + _C)).reshape(-1)
             yield pa.record_batch([pa.array(ball.view(np.int64)), pa.array(np.repeat(ids, scheme.tables * len(flips)))], names=["variant", "id"])
 
     return run
@@ -174,33 +166,39 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     similarity), id_a < id_b, between representatives: with the members it holds every link, and copies are never paired with each other.
 
     Meet-in-the-middle ball hashing: each representative's fingerprints (see ``BallScheme``) emit all variants within half the radius, the variants
-    are shuffled, ids that meet on one are paired and deduplicated, pairs with too different signatures dropped, and the rest verified on their exact shingle sets. The join on variants is left to the
-    engine, which splits a hot variant's partition, and ``spark.checkpoint.dir`` holds the fingerprints. Only texts that have a candidate
-    are read again for the verification: a bit filter of fixed size picks them where they are read.
+    are shuffled over as many partitions as their number asks for, ids that meet on one are paired and deduplicated, pairs with too different signatures dropped
+    (unless the scheme has none), and the rest verified on their exact shingle sets (64-bit hashes). ``spark.checkpoint.dir`` holds the fingerprints and candidates. Only texts that have a candidate
+    are read again for the verification: a bit filter of bounded size picks them where they are read.
 
     NULL or too short texts (fewer words than a shingle) and NULL ids take no part. Rows that repeat an id count as versions of one text:
     a link of any version is a link of the id.
     """
     scheme = scheme or BallScheme(shingle=5)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    sketches = checkpoint(source.mapInArrow(_sketch(scheme), "id long, same binary, keys array<long>, codes array<long>, sig array<long>"))
+    sketches = stored(source.mapInArrow(_sketch(scheme), "id long, same binary, keys array<long>, sig array<long>"))
     versions = sketches.select("id", "same").distinct()
     classes = versions.groupBy("same").agg(F.min("id").alias("rep"))
     members = versions.join(classes, "same").select("id", "rep").distinct()
     # a representative's own row per class: the class's fingerprint, whichever version of the id carries it
-    first = sketches.join(classes, (sketches["same"] == classes["same"]) & (sketches["id"] == classes["rep"])).select("id", "keys", "codes", "sig")
-    first_sig = first.select("id", "sig")
-    balls = first.select("id", "keys", "codes").mapInArrow(_variants(scheme), "variant long, id long")
+    reps = classes.select(F.col("same").alias("s"), "rep")
+    kept = sketches.join(reps, (F.col("same") == F.col("s")) & (F.col("id") == F.col("rep")))
+    balls = kept.select("id", "keys").mapInArrow(_variants(scheme), "variant long, id long")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    balls = balls.repartition(n, "variant")
+    parts = max(n, -(-classes.count() * scheme.tables * len(scheme.flips()) // PARTITION_VARIANTS))
+    balls = balls.repartition(parts, "variant")
     a, b = balls.alias("a"), balls.alias("b")
     met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    # one bit of each minimum hash: pairs whose signatures differ too much for the threshold are dropped before any set is shipped
-    words_ = -(-scheme.signature_bits() // 64)
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(words_)), F.lit(0))
-    met = met.join(first_sig.select(F.col("id").alias("id_a"), F.col("sig").alias("x")), "id_a").join(first_sig.select(F.col("id").alias("id_b"), F.col("sig").alias("y")), "id_b")
-    met = checkpoint(met.where(apart <= scheme.most_bits(threshold)).select("id_a", "id_b").distinct())
-    bits = _filter_words(met.select(F.explode(F.array("id_a", "id_b")).alias("id")), FILTER_BITS)
+    if scheme.signature_bits():
+        # one bit of each minimum hash: pairs whose signatures differ too much for the threshold are dropped before any set is shipped
+        first_sig = kept.select("id", "sig")
+        apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(-(-scheme.signature_bits() // 64))), F.lit(0))
+        met = met.join(first_sig.select(F.col("id").alias("id_a"), F.col("sig").alias("x")), "id_a").join(first_sig.select(F.col("id").alias("id_b"), F.col("sig").alias("y")), "id_b")
+        met = met.where(apart <= scheme.most_bits(threshold)).select("id_a", "id_b").distinct()
+    met = stored(met)
+    wanted_ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    low, high = FILTER_BITS
+    size = min(high, max(low, 1 << (8 * wanted_ids.count()).bit_length()))
+    bits = _filter_words(wanted_ids, size)
 
     @F.pandas_udf(T.BooleanType())
     def wanted(h: pd.Series) -> pd.Series:
@@ -210,16 +208,16 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            s = [_short(shingles(t, scheme.shingle, hashes)) for t in batch.column(1).to_pylist()]
+            s = [shingles(t, scheme.shingle, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(s, pa.binary())], names=["id", "s"])
 
-    again = source.where(wanted(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))).mapInArrow(sets, "id long, s binary").repartition(n, "id")
+    again = source.where(wanted(F.pmod(F.xxhash64("id"), F.lit(size)))).mapInArrow(sets, "id long, s binary").repartition(n, "id")
 
     @F.pandas_udf(T.DoubleType())
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
         for i, (p, q) in enumerate(zip(x, y)):
-            p, q = _long(p), _long(q)
+            p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out[i] = both / (len(p) + len(q) - both) if len(p) + len(q) else 0.0
         return pd.Series(out)
@@ -234,6 +232,20 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, threshold: flo
     return members, pairs
 
 
+def short_members(df: DataFrame, id_col: str, text_col: str, members: DataFrame, shingle: int) -> DataFrame:
+    """(id, rep) of the ids that ``near_duplicates`` leaves out: those of equal words make a class, represented by its smallest id; a NULL text is alone."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, None if t is None else w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t is None or len(w := words(t)) < shingle]
+            yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([None if w is None else " ".join(w) for _, w in rows], pa.string())], names=["id", "key"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").mapInArrow(keys, "id long, key string")
+    rows = rows.join(members.select("id"), "id", "left_anti").groupBy("id").agg(F.min("key").alias("key"))
+    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
+    return rows.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+
+
 def all_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b): every linked pair of ids, copies included. Its size is that of the result; callers that can do with classes use ``near_duplicates`` alone."""
     m = members

@@ -48,6 +48,11 @@ def test_near_duplicates_equal_brute_force(spark):
         assert classes[a][0] == classes[b][0]
     for i in classes:
         assert classes[i][1] == sum(i in p for p in got)
+    short = {r["id"]: r["rep"] for r in near.short_members(df, "doc_id", "texto", members, 3).collect()}
+    assert short == {5: 5, 6: 6, 7: 7, 8: 7}
+    # no filter by signatures
+    bare = near.near_duplicates(df, "doc_id", "texto", threshold=0.6, scheme=near.BallScheme(shingle=3, signature=0))
+    assert {tuple(r) for r in near.all_links(*bare).collect()} == got
     m, p = near.near_duplicates(df.limit(0), "doc_id", "texto")
     assert m.count() == 0 and p.count() == 0 and near.connected_classes(m, p).count() == 0
 
@@ -59,7 +64,7 @@ def test_few_links_at_the_threshold_are_missed():
     assert s.recall(0.6) > 0.99 and s.recall(0.7) > 0.9998
     k, q = s.signature_bits(), 0.2
     assert NormalDist(k * q, (k * q * (1 - q)) ** 0.5).cdf(s.most_bits(0.6)) > 1 - 1e-6
-    assert near.BallScheme(tables=2).signature_bits() == 20
+    assert near.BallScheme(tables=2).signature_bits() == 16
 
 
 def test_ball_meets_in_the_middle():
@@ -112,8 +117,14 @@ def test_leaks_equal_brute_force(spark):
 def aligned(a, b, lo, hi, n=2):
     codes = {}
     x, y = (np.array([codes.setdefault(w, len(codes)) for w in t], dtype=np.int32) for t in (a, b))
-    edits, held = leaks.banded_alignment(x, y, lo, hi, n)
-    return edits, held.tolist()
+    # beside a longer item on another document
+    items = np.full((2, len(x) + 3), -2, dtype=np.int32)
+    items[0, : len(x)] = x
+    items[1] = 77
+    words = np.r_[np.full(3, 5, dtype=np.int32), y, 77, 77]
+    edits, held = leaks.banded_alignment(items, np.array([len(x), len(x) + 3]), words, np.array([3, 0]), np.array([len(y), 3]), np.array([lo, 0]), hi - lo + 1, n)
+    assert not held[0, len(x) - n + 1 :].any() and not held[1].any()
+    return int(edits[0]), held[0, : len(x) - n + 1].tolist()
 
 
 def test_banded_alignment():
@@ -148,7 +159,7 @@ def test_leaks_come_from_the_alignment(spark, monkeypatch):
     rows = list(leaks._scan([d for d, _ in docs], [t for _, t in docs], leaks.build_index([(7, item)], 5, 0.4), 5, leaks.BAND))
     assert [(r[0], r[2], r[3]) for r in rows] == [(1, 8, 8), (2, 8, 5)]
     assert rows[0][4] == 0 and rows[1][4] == 5
-    monkeypatch.setattr(leaks, "banded_alignment", lambda a, b, lo, hi, n: (0, np.zeros(len(a) - n + 1, dtype=bool)))
+    monkeypatch.setattr(leaks, "banded_alignment", lambda items, *a: (np.zeros(len(items), dtype=int), np.zeros((len(items), items.shape[1] - 4), dtype=bool)))
     assert not list(leaks._scan([1], [docs[0][1]], leaks.build_index([(7, item)], 5, 0.4), 5, leaks.BAND))
 
 
