@@ -251,6 +251,50 @@ def test_template_removal(spark):
     assert markup.clean_markup(df.limit(0)).count() == 0
 
 
+def test_templates_go_and_usual_headings_stay(spark):
+    rows = []
+    for i in range(24):
+        rnd = random.Random(i)
+        menu = "# Secciones\n\n- inicio\n- buscar\n- contacto\n\n"
+        rows.append((i, "h", f"{menu}# Titulo {i}\n\n{sentence(rnd, 12)}\n\n# Referencias\n\n- punto {i}\n- {'comun' if i % 2 else 'otro'}\n- fin {i}\n\n{sentence(rnd, 9)}\n"))
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    got = {r["id"]: r for r in markup.clean_markup(df).collect()}
+    for i in range(24):
+        assert got[i]["contents"] == [f"Titulo {i}", "Referencias", f"punto {i}", "comun" if i % 2 else "otro", f"fin {i}"]
+        assert "buscar" not in got[i]["clean_text"] and "# Referencias" in got[i]["clean_text"]
+    assert {r["id"]: r["contents"] for r in markup.clean_markup(df, with_text=False).collect()} == {i: r["contents"] for i, r in got.items()}
+
+
+HARD = {
+    "math": "<math>" * 11_000, "bracket": "\\[ " * 23_000, "stars": "**a " * 17_000, "pre": "<pre>" * 20_000, "ref": "<ref>a " * 15_000 + "[[x]]", "templates": "[[a]] " + "{{a " * 15_000 + "}}" * 15_000,
+    "bold": "\\section{a}" + "\\textbf{" * 10_000 + "}" * 10_000, "comments": "<p>" + "<!-- " * 20_000, "ticks": "# a\n" + "`" * 70_000, "spaces": "# a" + " " * 70_000 + "b", "images": "# a\n" + "![" * 30_000,
+    "links": "# a\n" + "[a](" * 20_000, "addresses": "[[a]] " + "[//" * 20_000, "quotes": "\\section{a}" + "``a " * 20_000, "struck": "# a\n" + "~~a " * 20_000, "cells": "[[a]]\n{|\n" + "| [[a " * 15_000 + "\n|}",
+}
+
+
+@pytest.mark.parametrize("name", list(HARD))
+def test_time_grows_with_the_text(name):
+    import time
+
+    start = time.perf_counter()
+    markup.render(markup.parse(HARD[name]).root)
+    assert time.perf_counter() - start < 1.5
+
+
+def test_deep_nesting():
+    for tag in ("div", "section", "ul><li"):
+        p = markup.parse(f"<{tag}>" * 100_000 + "fin")
+        markup.prune(p.root, {p.root.children[0].mark + 1})
+        assert markup.render(p.root).endswith("fin")
+        assert sum(1 for _ in markup.elements(p.root)) >= 100_000
+
+
+def test_latex_and_templates_inside_out():
+    assert markup.clean_tex(r"a~\cite{k} {\it b}c \href{u{x}}{d \textbf{e}} \% ``f'' \unknown g\footnote{h {i} j}").split() == "a bc d e % f g".split()
+    assert markup.clean_wiki("a {{b|{{c}} d}} e {{f }} g }} h") == "a  e  g }} h"
+    assert markup.clean_markdown("**a** __b c__ ~~d~~ x__y__z *e* _f_ **g ** h") == "a b c d x__y__z e f *g * h"
+
+
 # page boilerplate
 
 
