@@ -40,8 +40,9 @@ class ItemIndex:
     """Everything the scan needs of one block of items with the same gram length."""
 
     ids: list
-    words: list[np.ndarray]  # codes of each item's words
-    run_of: list[np.ndarray]  # number of the distinct run that begins at each word
+    words: np.ndarray  # codes of each item's words, a row per item, filled up with -2
+    lengths: np.ndarray  # words of each item
+    run_of: np.ndarray  # number of the distinct run that begins at each word, filled up with -1
     runs: np.ndarray  # distinct runs of each item
     need: np.ndarray  # of them, those that a leak must hold
     least: np.ndarray  # grams that any run of the item holds at least: the bound of a band
@@ -54,6 +55,13 @@ class ItemIndex:
     filter: np.ndarray
 
 
+def _filled(rows: list[np.ndarray], value: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), value, dtype=np.int32)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
 def build_index(items: Sequence[tuple], n: int, share: float) -> list[ItemIndex]:
     """Indexes of the items by gram length: the longest one, up to 32 bytes, that no run of ``n`` words of the item is shorter than."""
     groups: dict[int, list] = {}
@@ -89,40 +97,50 @@ def build_index(items: Sequence[tuple], n: int, share: float) -> list[ItemIndex]
         distinct, first = np.unique(codes[order], return_index=True)
         bits = np.zeros(1 << 20, dtype=bool)
         bits[(distinct >> np.uint64(44)).astype(np.int64)] = True
-        out.append(ItemIndex([x[0] for x in own], texts, run_of, np.array(runs), np.array(need), np.array(bound), vocabulary, q, distinct, np.r_[first, len(order)], item[order], pos[order], bits))
+        texts, run_of = _filled(texts, -2), _filled(run_of, -1)
+        sizes = np.array([len(w) for _, w in own])
+        out.append(ItemIndex([x[0] for x in own], texts, sizes, run_of, np.array(runs), np.array(need), np.array(bound), vocabulary, q, distinct, np.r_[first, len(order)], item[order], pos[order], bits))
     return out
 
 
-def banded_alignment(item: np.ndarray, doc: np.ndarray, lo: int, hi: int, n: int) -> tuple[int, np.ndarray]:
-    """(edits, held): aligns the words of ``item`` with those of ``doc`` on the diagonals (document position less item position) from ``lo`` to ``hi``.
+def banded_alignment(items: np.ndarray, lengths: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lo: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, held): aligns many items with their documents, each on the ``width`` diagonals (document position less item position) from ``lo``.
 
-    ``edits`` is the least number of word edits that bring the item into the document there (any part of the document under the band may be the counterpart); ``held`` tells for each item
+    ``items`` has an item's word codes in each row, of which ``lengths`` are used; its document is the ``sizes`` codes of ``words`` from ``starts``. ``edits`` is the least number of word
+    edits that bring the item into the document there (any part of the document under the band may be the counterpart); ``held`` tells for each item
     position whether the run of ``n`` words from it stands unchanged on one of the diagonals.
     """
-    m, width = len(item), hi - lo + 1
-    at = np.arange(m)[:, None] + np.arange(lo, hi + 1)[None, :]
-    inside = (at >= 0) & (at < len(doc))
-    equal = inside & (doc[np.clip(at, 0, max(0, len(doc) - 1))] == item[:, None]) if len(doc) else np.zeros((m, width), dtype=bool)
-    held = np.zeros(max(0, m - n + 1), dtype=bool)
-    if m >= n:
-        whole = equal[: m - n + 1].copy()
+    count, most = items.shape
+    steps = np.arange(width, dtype=np.int32)
+    ends = (lo[:, None] + steps).astype(np.int32)
+    size = sizes.astype(np.int32)[:, None]
+    equal = np.empty((count, most, width), dtype=bool)
+    big = np.int32(1 << 20)
+    row = np.where((ends >= 0) & (ends <= size), 0, big).astype(np.int32)
+    beyond = np.full((count, 1), big, dtype=np.int32)
+    for i in range(most):
+        inside = (ends >= 0) & (ends < size)
+        equal[:, i] = inside & (words[np.where(inside, starts[:, None] + ends, 0)] == items[:, i : i + 1])
+        ends += 1
+        new = np.minimum(np.where(inside, row + ~equal[:, i], big), np.concatenate([row[:, 1:], beyond], axis=1) + 1)
+        new = np.minimum.accumulate(new - steps, axis=1) + steps
+        new[(ends < 0) | (ends > size)] = big
+        row = np.where((i < lengths)[:, None], new, row)
+    held = np.zeros((count, max(0, most - n + 1)), dtype=bool)
+    if most >= n:
+        whole = equal[:, : most - n + 1]
         for k in range(1, n):
-            whole &= equal[k : m - n + 1 + k]
-        held = whole.any(axis=1)
-    steps = np.arange(width)
-    big = m + len(doc) + width + 1
-    ends = np.arange(lo, hi + 1)
-    row = np.where((ends >= 0) & (ends <= len(doc)), 0, big)
-    for i in range(m):
-        ends = ends + 1
-        new = np.minimum(np.where(inside[i], row + ~equal[i], big), np.append(row[1:], big) + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-        row[(ends < 0) | (ends > len(doc))] = big
-    return int(min(row.min(), m)), held
+            whole = whole & equal[:, k : most - n + 1 + k]
+        held = whole.any(axis=2)
+    return np.minimum(row.min(axis=1), lengths), held
+
+
+#: Bands that are aligned at once.
+ALIGNED = 2000
 
 
 def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
-    """(id, item_id, runs, shared, edits) of all documents of a batch with a region that aligns well enough."""
+    """(id, item_id, runs, shared, edits) of all documents of a batch with bands that align well enough."""
     lists = [plain_words(t) if t else [] for t in texts]
     parts, doc_start, at = [], [], 0
     for w in lists:
@@ -132,12 +150,14 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
         at += len(p)
     buf = b"".join(parts) + b"\n" * 48
     a = np.frombuffer(buf, dtype=np.uint8)[:at]
-    if not at:
+    if not at or not indexes:
         return
     doc_start = np.array(doc_start)
     starts = np.r_[0, np.flatnonzero((a == 32) | (a == 10))[:-1] + 1]
     first_word = np.searchsorted(starts, doc_start)
     half = max(1, band // 2)
+    # bands are numbered from the lowest that a hit can fall into
+    lowest, bands_of_all = -(max(ix.words.shape[1] for ix in indexes) // half) - 2, max(map(len, lists)) // half + max(ix.words.shape[1] for ix in indexes) // half + 4
     for ix in indexes:
         codes = _gram_codes(buf, starts, ix.q)
         maybe = np.flatnonzero(ix.filter[(codes >> np.uint64(44)).astype(np.int64)])
@@ -152,38 +172,45 @@ def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
         word = np.repeat(maybe, times)
         doc = np.searchsorted(doc_start, starts[word], side="right") - 1
         item, pos = ix.item[occ], ix.pos[occ]
-        pair = doc * len(ix.ids) + item
-        step = (word - first_word[doc] - pos) // half
+        items, places = len(ix.ids), ix.words.shape[1]
+        pair = doc * items + item
+        step = (word - first_word[doc] - pos) // half - lowest
         # overlapping bands: each hit counts in the band of two half widths that begins with its own and in the one before; an item position counts once in a band
-        rows = np.unique(np.stack([np.r_[pair, pair], np.r_[step, step - 1], np.r_[pos, pos]], axis=1), axis=0)
-        first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-        count = np.diff(np.r_[first, len(rows)])
-        bands = rows[first, :2]
-        keep = count >= ix.least[bands[:, 0] % len(ix.ids)]
-        bands, count, rows = bands[keep], count[keep], rows[np.repeat(keep, count)]
+        key = np.unique(np.r_[(pair * bands_of_all + step) * places + pos, (pair * bands_of_all + step - 1) * places + pos])
+        of_hit = key // places
+        first = np.flatnonzero(np.r_[True, of_hit[1:] != of_hit[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        bands = of_hit[first]
+        keep = count >= ix.least[bands // bands_of_all % items]
+        held_by = key[np.repeat(keep, count)]
+        bands = bands[keep]
+        # the positions that the kept bands of a pair hold together: each contained run gives one at least
+        pairs, hits = np.unique(np.unique(held_by // places // bands_of_all * places + held_by % places) // places, return_counts=True)
+        pairs = pairs[hits >= ix.need[pairs % items]]
+        bands = bands[np.isin(bands // bands_of_all, pairs)]
         if not len(bands):
             continue
-        # the positions that the kept bands of a pair hold together: each contained run gives one at least
-        places = np.unique(rows[:, [0, 2]], axis=0)
-        pairs, hits = np.unique(places[:, 0], return_counts=True)
-        pairs = pairs[hits >= ix.need[pairs % len(ix.ids)]]
-        lo, hi = np.searchsorted(bands[:, 0], pairs), np.searchsorted(bands[:, 0], pairs, side="right")
-        coded: tuple[int, np.ndarray] = (-1, np.zeros(0))
-        for p, l, h in zip(pairs.tolist(), lo.tolist(), hi.tolist()):
-            d, i = divmod(p, len(ix.ids))
-            if coded[0] != d:
-                coded = d, np.array([ix.vocabulary.get(x, -1) for x in lists[d]], dtype=np.int32)
-            own = bands[l:h, 1]
-            held, edits = np.zeros(len(ix.run_of[i]), dtype=bool), len(ix.words[i])
-            # neighbouring bands make one region
-            cuts = np.flatnonzero(np.diff(own) > 2) + 1
-            for part in np.split(own, cuts):
-                e, there = banded_alignment(ix.words[i], coded[1], int(part[0]) * half, (int(part[-1]) + 2) * half - 1, n)
-                held |= there
-                edits = min(edits, e)
-            shared = len(np.unique(ix.run_of[i][held]))
-            if shared >= ix.need[i]:
-                yield ids[d], ix.ids[i], int(ix.runs[i]), shared, edits
+        of_pair, lo = bands // bands_of_all, (bands % bands_of_all + lowest) * half
+        d, i = of_pair // items, of_pair % items
+        docs, d_at = np.unique(d, return_inverse=True)
+        coded = np.array([ix.vocabulary.get(x, -1) for k in docs.tolist() for x in lists[k]], dtype=np.int32)
+        sizes = np.array([len(lists[k]) for k in docs.tolist()])
+        begins = np.cumsum(sizes) - sizes
+        aligned = [
+            banded_alignment(ix.words[i[x]], ix.lengths[i[x]], coded, begins[d_at[x]], sizes[d_at[x]], lo[x], 2 * half, n)
+            for x in (slice(k, k + ALIGNED) for k in range(0, len(bands), ALIGNED))
+        ]
+        edits, held = np.concatenate([e for e, _ in aligned]), np.concatenate([h for _, h in aligned])
+        # the distinct runs that a pair's bands hold together
+        at_band, at_pos = np.nonzero(held)
+        number = np.unique(of_pair[at_band] * places + ix.run_of[i[at_band], at_pos])
+        pairs, shared = np.unique(number // places, return_counts=True)
+        fine = shared >= ix.need[pairs % items]
+        pairs, shared = pairs[fine], shared[fine]
+        least = np.minimum.reduceat(edits, np.flatnonzero(np.r_[True, of_pair[1:] != of_pair[:-1]]))
+        rank = np.searchsorted(np.unique(of_pair), pairs)
+        for p, s, e in zip(pairs.tolist(), shared.tolist(), least[rank].tolist()):
+            yield ids[p // items], ix.ids[p % items], int(ix.runs[p % items]), s, int(e)
 
 
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, n: int = 5, share: float = 0.4, band: int = BAND) -> DataFrame:
@@ -191,9 +218,9 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
 
     Texts are compared without accents, case and punctuation. Q-gram lemma filter: character grams that begin at words and are no longer than any of the item's runs are
     looked up, and counted over overlapping bands of ``band`` diagonals. A band that holds a whole run of the item holds at least the fewest grams that any of its runs has;
-    bands below that are dropped, and pairs whose kept bands together hold fewer item positions than the runs they would need, so nothing is lost. The regions of neighbouring kept bands are
+    bands below that are dropped, and pairs whose kept bands together hold fewer item positions than the runs they would need, so nothing is lost. The kept bands are
     verified by banded alignment in words, which gives ``shared``, the item's distinct runs that stand unchanged under a band, and ``edits``, the word edits that the whole
-    item needs to lie in the best region; pairs with too few runs are dropped.
+    item needs to lie under the best band; pairs with too few runs are dropped.
 
     The items are the stated query set: they are read in blocks of 20,000 by id and each block is matched against all documents where these are read, without
     a shuffle, so an item that leaks into a third of the corpus, or a source with a third of it, makes no task longer. NULL texts and items with fewer than ``n`` words match nothing; items with equal
