@@ -1,13 +1,12 @@
-"""Crawl by levels, link graph, PageRank and HITS."""
+"""Link graph, distances, PageRank and HITS."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexaria.functions.urls import dir_depth, domain, is_dynamic
-from lexaria.session import checkpoint
+from lexaria.session import checkpoint, stored
 
 
 def crawled(tasks: DataFrame) -> DataFrame:
@@ -35,38 +34,6 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def crawl(
-    seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, max_depth: int = 3, max_dir_depth: int = 5, max_per_site: int = 100, domain_filter: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """pages (url, depth) and links (src, dst) of a breadth-first crawl from ``seeds`` (url).
-
-    ``fetch`` gets (url) and returns (url, links ARRAY<STRING> of normalized addresses); a failed fetch returns no row. Every link is recorded; what is
-    queued is bounded by depth, directory depth, pages per site (in order of address) and domain.
-    """
-    from pyspark.sql import Window
-
-    pages = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    front, links = pages, None
-    for depth in range(0, max_depth + 1):
-        got = checkpoint(fetch(front.select("url")))
-        new_links = got.select(F.col("url").alias("src"), F.explode("links").alias("dst")).distinct()
-        links = new_links if links is None else links.unionAll(new_links)
-        if depth == max_depth:
-            break
-        ahead = new_links.select(F.col("dst").alias("url")).distinct().join(pages, "url", "left_anti").where(dir_depth(F.col("url")) <= max_dir_depth)
-        ahead = ahead.withColumn("site", domain(F.col("url")))
-        if domain_filter:
-            ahead = ahead.where(F.contains("site", F.lit(domain_filter)))
-        held = pages.groupBy(domain(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("held"))
-        order = Window.partitionBy("site").orderBy("url")
-        ahead = ahead.join(held, "site", "left").withColumn("place", F.row_number().over(order) + F.coalesce("held", F.lit(0))).where(F.col("place") <= max_per_site)
-        front = checkpoint(ahead.select("url", F.lit(depth + 1).alias("depth")))
-        if not front.limit(1).count():
-            break
-        pages = pages.unionAll(front)
-    return pages, links
-
-
 def url_features(pages: DataFrame) -> DataFrame:
     """(id, domain, dir_depth, dynamic) of (id, url)."""
     return pages.where("url IS NOT NULL").select("id", domain(F.col("url")).alias("domain"), dir_depth(F.col("url")).alias("dir_depth"), is_dynamic(F.col("url")).alias("dynamic"))
@@ -82,45 +49,92 @@ def crawl_stats(pages: DataFrame) -> DataFrame:
     return g.select(kind.alias("kind"), F.coalesce(value, F.lit("")).alias("value"), "pages").crossJoin(F.broadcast(total)).select("kind", "value", "pages", F.round(F.try_divide(100.0 * F.col("pages"), F.col("n")), 4).alias("percent"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(id, score) after ``rounds`` iterations from the uniform start; the mass of pages without links is spread over all. Scores sum to 1."""
+def _kept_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored, and cached in partitions by ``key``: joins on it in many rounds don't shuffle it again. What a lost executor cached is read from the stored table."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored(df).repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(id, score) after ``rounds`` iterations from the uniform start; the mass of pages without links is spread over all. Scores sum to 1.
+
+    With ``tolerance`` it stops before, when the scores change by less than pages * ``tolerance`` in sum. A node without a row in ``edges`` counts; edges to unknown nodes are lost mass. Empty nodes give no rows.
+    """
     nodes = checkpoint(nodes.select("id").distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    arcs = checkpoint(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
+    arcs = _kept_by(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")), "src")
     ranks = nodes.withColumn("score", F.lit(1.0 / n))
     for _ in range(rounds):
         # each round reads the last one once: what flows over links, kept, tells the rest of the mass
         flow = checkpoint(ranks.join(arcs, ranks["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("flow")))
         loose = flow.agg((1 - F.coalesce(F.sum("flow"), F.lit(0.0))).alias("loose"))
         new = nodes.join(flow, nodes["id"] == flow["dst"], "left").crossJoin(F.broadcast(loose))
-        ranks = new.select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
+        new = new.select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
+        settled = tolerance is not None and new.join(ranks.withColumnRenamed("score", "before"), "id").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < n * tolerance
+        ranks = new
+        if settled:
+            break
+    arcs.unpersist()
     return ranks
 
 
-def hits(nodes: DataFrame, edges: DataFrame, *, rounds: int = 20) -> DataFrame:
-    """(id, hub, authority) after ``rounds`` iterations, each summing to 1."""
-    nodes, edges = checkpoint(nodes.select("id").distinct()), checkpoint(edges)
-    hub = nodes.withColumn("hub", F.lit(1.0))
+def hits(nodes: DataFrame, edges: DataFrame, *, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(id, hub, authority) after ``rounds`` iterations, each summing to 1 (0 without edges).
+
+    With ``tolerance`` it stops before, when the hub scores change by less than that in sum.
+    """
+    nodes, edges = checkpoint(nodes.select("id").distinct()), stored(edges)
+    outward, inward = _kept_by(edges, "src"), _kept_by(edges, "dst")
 
     def scaled(df: DataFrame, col: str) -> DataFrame:
         total = df.agg(F.sum(col).alias("__t"))
         return df.crossJoin(F.broadcast(total)).select("id", F.when(F.col("__t") > 0, F.col(col) / F.col("__t")).otherwise(0.0).alias(col))
 
     def authority(h: DataFrame) -> DataFrame:
-        s = h.join(edges, h["id"] == edges["src"]).groupBy("dst").agg(F.sum("hub").alias("authority"))
+        s = h.join(outward, h["id"] == outward["src"]).groupBy("dst").agg(F.sum("hub").alias("authority"))
         return nodes.join(s, nodes["id"] == s["dst"], "left").select("id", F.coalesce("authority", F.lit(0.0)).alias("authority"))
 
+    hub = nodes.withColumn("hub", F.lit(1.0))
     for i in range(rounds):
         a = authority(hub)
-        s = a.join(edges, a["id"] == edges["dst"]).groupBy("src").agg(F.sum("authority").alias("hub"))
-        hub = nodes.join(s, nodes["id"] == s["src"], "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub"))
-        if i % 2 or i == rounds - 1:
+        s = a.join(inward, a["id"] == inward["dst"]).groupBy("src").agg(F.sum("authority").alias("hub"))
+        before, hub = hub, nodes.join(s, nodes["id"] == s["src"], "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub"))
+        if i % 2 or i == rounds - 1 or tolerance is not None:
             # scaling reads its input twice, so it is done on kept rows; in between the values only grow
             hub = scaled(checkpoint(hub), "hub")
-    return hub.join(scaled(checkpoint(authority(hub)), "authority"), "id")
+            if tolerance is not None and (hub.join(before.withColumnRenamed("hub", "before"), "id").agg(F.sum(F.abs(F.col("hub") - F.col("before")))).first()[0] or 0.0) < tolerance:
+                break
+    out = hub.join(scaled(checkpoint(authority(hub)), "authority"), "id")
+    outward.unpersist()
+    inward.unpersist()
+    return out
+
+
+def ordering(scores: DataFrame, measure: str, k: int = 5) -> DataFrame:
+    """(measure, rank, id): the ``k`` nodes with the highest ``measure`` (rounded to 6 digits, ties by id)."""
+    best = scores.select("id", F.round(measure, 6).alias("s")).orderBy(F.desc("s"), "id").limit(k)
+    return best.select(F.lit(measure).alias("measure"), F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("rank"), "id")
+
+
+def selected(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id, ...) named in ``ids`` (id) and the edges between them, all columns kept; everything else is hidden, and nothing is lost, as the inputs stay."""
+    ids = ids.select("id").where("id IS NOT NULL").distinct()
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes.join(ids, "id", "left_semi"), inner
+
+
+def with_property(nodes: DataFrame, edges: DataFrame, of: str, name: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """Selection by property: ``of`` is ``node`` (nodes whose column ``name`` has one of ``values``, and the edges between them) or ``edge`` (such edges and their ends). NULL has no value."""
+    if of == "node":
+        return selected(nodes, edges, nodes.where(F.col(name).isin(values)))
+    if of != "edge":
+        raise ValueError("of must be node or edge")
+    kept = edges.where(F.col(name).isin(values))
+    ends = kept.select(F.col("src").alias("id")).unionAll(kept.select(F.col("dst").alias("id"))).distinct()
+    return nodes.join(ends, "id", "left_semi"), kept
 
 
 def two_hop(edges: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexaria.functions.urls import DYNAMIC, html_links, normalize_url
 from lexaria.operators import graph
+from lexaria.operators.crawl import Crawl, Limits, crawl
 from lexaria.operators.evaluate import overlap_at
 from lexaria.operators.order import ordered
-from lexaria.session import checkpoint, table
+from lexaria.session import checkpoint, stored, table
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of HTML texts as absolute addresses, duplicates kept, numbered in order."""
-    docs = table(spark, d, "documento").where(F.col("texto").contains("<a ")).groupBy("doc_id").agg(F.max("texto").alias("texto"))
+    docs = table(spark, d, "documento").where(F.col("texto").rlike(r"(?i)<a\s")).groupBy("doc_id").agg(F.max("texto").alias("texto"))
     rows = docs.select("doc_id", F.posexplode(html_links("texto")).alias("no", "href"))
     base = F.lit("https://base.example/dir/page.html")
     return rows.select("doc_id", "no", normalize_url(F.col("href"), base).alias("url")).where("url IS NOT NULL")
@@ -61,14 +62,54 @@ def overlap_curve(spark: SparkSession, d: str) -> DataFrame:
     return overlap_at(by(graph.pagerank(nodes, edges), "score"), by(graph.hits(nodes, edges), "authority"), list(range(10, min(501, n), 10)))
 
 
-def crawl_again(spark: SparkSession, d: str) -> DataFrame:
-    """Pages and depths of a crawl by levels over the crawled state itself in place of the network."""
+def _crawl(spark: SparkSession, d: str, limits: Limits) -> Crawl:
+    """A crawl over the crawled state itself in place of the network, from its pages of depth 0."""
     state = checkpoint(pages(spark, d).where("url IS NOT NULL"))
     urls = state.select(F.col("id").alias("to"), F.col("url").alias("target"))
-    links = state.select("url", F.explode_outer("outlinks").alias("to")).join(urls, "to", "left").groupBy("url").agg(F.collect_set("target").alias("links"))
-    links = checkpoint(links)
-    found, _ = graph.crawl(state.where("depth = 0").select("url"), lambda front: front.join(links, "url"), max_depth=4, max_dir_depth=100, max_per_site=1_000_000)
-    return found.select("url", F.col("depth").cast("int").alias("depth"))
+    links = state.select("url", F.posexplode_outer("outlinks").alias("pos", "to")).join(urls, "to", "left").groupBy("url").agg(F.sort_array(F.collect_list(F.struct("pos", "target"))).alias("l"))
+    links = stored(links.select("url", F.filter(F.col("l.target"), lambda x: x.isNotNull()).alias("links")))
+    return crawl(state.where("depth = 0").select("url"), lambda front: front.join(links, "url"), limits)
+
+
+def _found(state: Crawl) -> DataFrame:
+    return state.pages.select("url", "depth").unionAll(state.waiting.select("url", "depth")).select("url", F.col("depth").cast("int").alias("depth"))
+
+
+def crawl_again(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and depths of a crawl without caps but depth."""
+    return _found(_crawl(spark, d, Limits(max_depth=4, max_dir_depth=100, max_per_site=1_000_000_000, max_total=1_000_000_000)))
+
+
+def crawl_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The same crawl held to depth 3, two directories and hosts of one ending."""
+    return _found(_crawl(spark, d, Limits(max_depth=3, max_dir_depth=2, max_per_site=1_000_000_000, max_total=1_000_000_000, domain_filter=".example")))
+
+
+def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What a crawl of at most 60 pages, 8 of a site, fetched, left and recorded."""
+    state = _crawl(spark, d, Limits(max_depth=6, max_dir_depth=100, max_per_site=8, max_total=60))
+    own = state.pages.agg(F.count(F.lit(1)).alias("fetched"), F.sum(F.size("outlinks")).alias("links"), F.max("depth").alias("depth"))
+    return own.crossJoin(state.waiting.agg(F.count(F.lit(1)).alias("waiting"))).withColumn("failed", F.lit(state.failed))
+
+
+def top_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The five pages with the highest PageRank, authority and hub scores, iterated until they settle."""
+    nodes, edges = _graph(spark, d)
+    h = stored(graph.hits(nodes, edges, rounds=1000, tolerance=1e-7))
+    parts = [graph.ordering(graph.pagerank(nodes, edges, rounds=100, tolerance=1e-8), "score"), graph.ordering(h, "authority"), graph.ordering(h, "hub")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def positive_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose scores aren't zero."""
+    h = graph.hits(*_graph(spark, d), rounds=3)
+    return h.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("hub") > 0).alias("hubs"), F.count_if(F.col("authority") > 0).alias("authorities"))
+
+
+def selected_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the pages of depth 1."""
+    p = pages(spark, d)
+    return graph.with_property(p, graph.link_graph(p)[1], "node", "depth", [1])[1].select("src", "dst")
 
 
 QUERIES = {
@@ -81,6 +122,11 @@ QUERIES = {
     "page_links": page_links,
     "frontier_levels": frontier_levels,
     "crawl_again": crawl_again,
+    "crawl_capped": crawl_capped,
+    "crawl_counters": crawl_counters,
+    "top_converged": top_converged,
+    "positive_scores": positive_scores,
+    "selected_pages": selected_pages,
     "pagerank_pages": lambda s, d: _rounded(graph.pagerank(*_graph(s, d)), "score"),
     "hits_pages": lambda s, d: _rounded(graph.hits(*_graph(s, d)), "hub", "authority"),
     "overlap_at_k": overlap_curve,
@@ -128,6 +174,13 @@ SELECT kind, value, pages, round(100.0::DOUBLE * pages / n, 4) AS percent FROM g
     "frontier_levels": PAGES + ", bfs AS (SELECT id, 0 AS level FROM pages WHERE depth = 0 UNION SELECT dst, level + 1 FROM bfs JOIN edges ON src = id WHERE level < 6) SELECT id, CAST(min(level) AS INT) AS level FROM bfs GROUP BY id",
     "crawl_again": PAGES + """, w AS (SELECT DISTINCT a.url AS src, b.url AS dst FROM edges JOIN pages a ON a.id = src JOIN pages b ON b.id = dst WHERE a.url IS NOT NULL AND b.url IS NOT NULL),
 bfs AS (SELECT DISTINCT url, 0 AS depth FROM pages WHERE depth = 0 AND url IS NOT NULL UNION SELECT dst, depth + 1 FROM bfs JOIN w ON src = url WHERE depth < 4) SELECT url, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY url""",
+    "crawl_capped": PAGES + f""", w AS (SELECT DISTINCT a.url AS src, b.url AS dst FROM edges JOIN pages a ON a.id = src JOIN pages b ON b.id = dst WHERE a.url IS NOT NULL
+  AND {_DEPTH.replace('url', 'b.url')} <= 2 AND contains({_DOMAIN.replace('url', 'b.url')}, '.example')),
+bfs AS (SELECT DISTINCT url, 0 AS depth FROM pages WHERE depth = 0 AND url IS NOT NULL UNION SELECT dst, depth + 1 FROM bfs JOIN w ON src = url WHERE depth < 3) SELECT url, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY url""",
+    "top_converged": PAGES + RANK.replace("20", "150") + HITS.replace("20", "400") + """, t AS (SELECT 'score' AS measure, id, round(score, 6) AS s FROM ranks UNION ALL SELECT 'authority', id, round(authority, 6) FROM hits UNION ALL SELECT 'hub', id, round(hub, 6) FROM hits)
+SELECT measure, CAST(row_number() OVER (PARTITION BY measure ORDER BY s DESC, id) AS INT) AS rank, id FROM t QUALIFY rank <= 5""",
+    "positive_scores": PAGES + HITS.replace("20", "3") + " SELECT count(*) AS pages, count(*) FILTER (hub > 0) AS hubs, count(*) FILTER (authority > 0) AS authorities FROM hits",
+    "selected_pages": PAGES + ", one AS (SELECT id FROM pages WHERE depth = 1) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM one) AND dst IN (SELECT id FROM one)",
     "pagerank_pages": PAGES + RANK + " SELECT id, round(score, 9) AS score FROM ranks",
     "hits_pages": PAGES + HITS + " SELECT id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM hits",
     "overlap_at_k": PAGES + RANK + HITS + """, a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS ra FROM ranks), b AS (SELECT id, row_number() OVER (ORDER BY round(authority, 9) DESC, id) AS rb FROM hits)
