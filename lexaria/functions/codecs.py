@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -67,19 +67,141 @@ def from_gaps(deltas: list[int]) -> list[int]:
     return np.cumsum(deltas).tolist() if deltas else []
 
 
-def _array_udf(f, kind):
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f([int(v) for v in x] if not isinstance(x, (bytes, bytearray)) else bytes(x)))
-
-    return run
-
-
-vbyte_bytes = _array_udf(vbyte_encode, T.BinaryType())
-vbyte_numbers = _array_udf(vbyte_decode, T.ArrayType(T.LongType()))
-gap_numbers = _array_udf(lambda b: from_gaps(vbyte_decode(b)), T.ArrayType(T.LongType()))
-gamma_bytes = _array_udf(gamma_encode, T.BinaryType())
-gamma_numbers = _array_udf(gamma_decode, T.ArrayType(T.LongType()))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all lists, the list ends among them (from 0), and which lists are NULL."""
+    null = np.asarray(lists.is_null())
+    sizes = np.where(null, 0, np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)], null
+
+
+def _binary(data: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
+    mask = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(null), [mask, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.astype(np.uint8).tobytes())], int(null.sum()))
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, the ends of the values among them, and which are NULL."""
+    rows = column.to_pylist()
+    ends = np.r_[0, np.cumsum([len(x or b"") for x in rows], dtype=np.int64)]
+    return np.frombuffer(b"".join(x or b"" for x in rows), dtype=np.uint8), ends, np.array([x is None for x in rows], dtype=bool)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, pa.int64()), mask=pa.array(null))
+
+
+def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(v), dtype=np.int64)
+    rest = v.copy()
+    for k in (32, 16, 8, 4, 2, 1):
+        big = rest >> k > 0
+        out[big] += k
+        rest = np.where(big, rest >> k, rest)
+    return out + (rest > 0)
+
+
+def vbyte_encode_lists(lists: pa.Array) -> pa.Array:
+    """``vbyte_encode`` of every list, over the whole column at once."""
+    v, ends, null = _flat(lists)
+    if len(v) and v.min() < 0:
+        raise ValueError("variable-byte codes are for numbers from 0")
+    size = np.maximum(1, -(-_bit_lengths(v) // 7))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for k in range(int(size.max()) if len(v) else 0):
+        more = size > k
+        out[at[more] + k] = (v[more] >> (7 * k)) & 127
+    out[at + size - 1] |= 128
+    return _binary(out, np.r_[0, np.cumsum(size)][ends], null)
+
+
+def vbyte_decode_lists(column: pa.Array) -> pa.Array:
+    """``vbyte_decode`` of every value; an unfinished last number is dropped."""
+    b, ends, null = _bytes_of(column)
+    last = np.flatnonzero(b & 128)
+    counts = np.searchsorted(last, ends)
+    begin = np.r_[0, last[:-1] + 1] if len(last) else last
+    # a number begins no earlier than its value
+    if len(last):
+        begin = np.maximum(begin, ends[np.searchsorted(counts, np.arange(len(last)), side="right") - 1])
+    out = np.zeros(len(last), dtype=np.int64)
+    for k in range(int((last - begin).max()) + 1 if len(last) else 0):
+        more = begin + k <= last
+        out[more] |= (b[begin[more] + k] & 127).astype(np.int64) << (7 * k)
+    return _lists(out, counts, null)
+
+
+def gap_decode_lists(column: pa.Array) -> pa.Array:
+    """Numbers of variable-byte coded gaps."""
+    lists = vbyte_decode_lists(column)
+    v, ends, null = _flat(lists)
+    sums = np.r_[0, np.cumsum(v)]
+    return _lists(sums[1:] - np.repeat(sums[ends[:-1]], np.diff(ends)), ends, null)
+
+
+def gamma_encode_lists(lists: pa.Array) -> pa.Array:
+    """``gamma_encode`` of every list, over the whole column at once."""
+    v, ends, null = _flat(lists)
+    if len(v) and v.min() < 1:
+        raise ValueError("gamma codes are for numbers from 1")
+    length = _bit_lengths(v)
+    bits = 2 * length - 1
+    upto = np.r_[0, np.cumsum(bits)]
+    own = upto[ends[1:]] - upto[ends[:-1]]
+    whole = -(-own // 8) * 8
+    base = np.cumsum(whole) - whole
+    at = upto[:-1] - np.repeat(upto[ends[:-1]] - base, np.diff(ends))
+    out = np.zeros(int(whole.sum()), dtype=np.uint8)
+    for k in range(int(length.max()) if len(v) else 0):
+        more = length > k
+        out[at[more] + length[more] - 1 + k] = (v[more] >> (length[more] - 1 - k)) & 1
+    return _binary(np.packbits(out), np.r_[0, np.cumsum(whole // 8)], null)
+
+
+def gamma_decode_lists(column: pa.Array) -> pa.Array:
+    """``gamma_decode`` of every value: the k-th numbers of all values are read together, and the last long ones by themselves."""
+    b, ends, null = _bytes_of(column)
+    bits = np.unpackbits(b)
+    n = len(bits)
+    ones = np.minimum.accumulate(np.where(bits == 1, np.arange(n), n)[::-1])[::-1] if n else np.zeros(0, dtype=np.int64)
+    ones = np.r_[ones, n]
+    at, stop = ends[:-1] * 8, ends[1:] * 8
+    rows, firsts, sizes = [], [], []
+    alive = np.arange(len(at))
+    at = at.copy()
+    while len(alive) > 16:
+        one = ones[at[alive]]
+        end = 2 * one - at[alive] + 1
+        fine = (one < stop[alive]) & (end <= stop[alive])
+        alive, one, end = alive[fine], one[fine], end[fine]
+        rows.append(alive)
+        firsts.append(one)
+        sizes.append(end - one)
+        at[alive] = end
+    rest: list[tuple[int, int, int]] = []
+    for r in alive.tolist():
+        x, last = int(at[r]), int(stop[r])
+        while x < last and (one := int(ones[x])) < last and (end := 2 * one - x + 1) <= last:
+            rest.append((r, one, end - one))
+            x = end
+    if rest:
+        tail = np.array(rest, dtype=np.int64)
+        rows, firsts, sizes = [*rows, tail[:, 0]], [*firsts, tail[:, 1]], [*sizes, tail[:, 2]]
+    row, first, size = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, firsts, sizes))
+    order = np.argsort(first, kind="stable")
+    row, first, size = row[order], first[order], size[order]
+    out = np.zeros(len(first), dtype=np.int64)
+    for k in range(int(size.max()) if len(size) else 0):
+        more = size > k
+        out[more] = out[more] << 1 | bits[first[more] + k]
+    return _lists(out, np.r_[0, np.cumsum(np.bincount(row, minlength=len(null)))], null)
+
+
+vbyte_bytes = F.arrow_udf(vbyte_encode_lists, T.BinaryType())
+vbyte_numbers = F.arrow_udf(vbyte_decode_lists, T.ArrayType(T.LongType()))
+gap_numbers = F.arrow_udf(gap_decode_lists, T.ArrayType(T.LongType()))
+gamma_bytes = F.arrow_udf(gamma_encode_lists, T.BinaryType())
+gamma_numbers = F.arrow_udf(gamma_decode_lists, T.ArrayType(T.LongType()))
 
 
 def vbyte_size(n: Column) -> Column:

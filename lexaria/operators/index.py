@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexaria.functions import codecs
 from lexaria.operators.order import ordered
@@ -27,6 +29,67 @@ def write_index(tf: DataFrame, path: str, mode: str = "errorifexists") -> None:
     tf.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(path)
 
 
+@dataclass
+class StoredIndex:
+    """Parts of an index on disk: postings (term, doc_id, tf), lexicon (term, df, cf, term_idx, pointer), skips (term, skip_idx, doc_id, byte_offset), names (doc_id, doc_name), norms (doc_id, norm)."""
+
+    postings: DataFrame
+    lexicon: DataFrame
+    skips: DataFrame
+    names: DataFrame
+    norms: DataFrame
+
+
+PARTS = tuple(StoredIndex.__dataclass_fields__)
+
+
+def load_parts(spark: SparkSession, path: str) -> StoredIndex:
+    """A stored index, read lazily; filters on ``term`` skip files and row groups by their statistics."""
+    return StoredIndex(*(spark.read.parquet(f"{path}/{p}") for p in PARTS))
+
+
+def save_parts(tf: DataFrame, names: DataFrame, path: str) -> StoredIndex:
+    """Writes every part of the index of ``tf`` (term, doc_id, tf) and the documents' names below ``path``; an index that is there is read and not built again.
+
+    Postings and skips are range-partitioned and sorted by term and document. Empty inputs give an index without rows. The parts are complete when ``done`` exists, so a build that was broken off is done anew.
+    """
+    spark = tf.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        write_index(tf.select("term", "doc_id", "tf"), f"{path}/postings", "overwrite")
+        rows = lexicon(terms).join(terms.select("term", "cf"), "term").select("term", "df", "cf", "term_idx", "pointer")
+        rows.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+        skip_lists(tf, terms).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/skips")
+        names.select("doc_id", "doc_name").write.mode("overwrite").parquet(f"{path}/names")
+        n = names.select("doc_id").distinct().count()
+        w = (1 + F.ln(F.col("tf").cast("double"))) * F.ln(F.lit(float(max(n, 1))) / F.col("df"))
+        tf.join(terms, "term").select("doc_id", w.alias("w")).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
+        fs.create(done).close()
+    return load_parts(spark, path)
+
+
+def posting_lines(ix: StoredIndex, term: str) -> DataFrame:
+    """(value): ``name:id:frequency`` of a term's list; one line that says so if the term is unknown."""
+    rows = ix.postings.where(F.col("term") == term.lower()).join(ix.names, "doc_id").select(F.concat_ws(":", "doc_name", "doc_id", "tf").alias("value"))
+    if ix.lexicon.where(F.col("term") == term.lower()).limit(1).count():
+        return rows
+    return ix.postings.sparkSession.createDataFrame([(f"unknown term: {term}",)], "value string")
+
+
+def skip_view(ix: StoredIndex, term: str) -> DataFrame:
+    """(doc_name, doc_id, byte_offset): a term's skip list in order of the documents' names."""
+    return ix.skips.where(F.col("term") == term.lower()).join(ix.names, "doc_id").select("doc_name", "doc_id", "byte_offset").orderBy("doc_name")
+
+
+def from_skip(ix: StoredIndex, term: str, doc_id: int) -> DataFrame:
+    """(doc_id, tf): a term's list from the last skip at or before ``doc_id``; what lies before isn't read, as files and row groups are sorted by term and document."""
+    start = ix.skips.where((F.col("term") == term.lower()) & (F.col("doc_id") <= doc_id)).agg(F.max("doc_id")).first()[0]
+    own = ix.postings.where(F.col("term") == term.lower())
+    return (own if start is None else own.where(F.col("doc_id") >= start)).select("doc_id", "tf").orderBy("doc_id")
+
+
 def posting_list(tf: DataFrame, term: str) -> DataFrame:
     """(doc_id, tf) of one term, in order; none if it is unknown."""
     return tf.where(F.col("term") == term.lower()).select("doc_id", "tf").orderBy("doc_id")

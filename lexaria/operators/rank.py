@@ -72,13 +72,21 @@ def tfidf_norms(ix: Index) -> DataFrame:
     return ix.tf.join(ix.terms, "term").crossJoin(F.broadcast(ix.corpus)).groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
-def cosine_tfidf(ix: Index, q: DataFrame) -> DataFrame:
-    """Cosine of (1 + ln tf) ln(N / df) vectors; terms in all documents vanish."""
+def with_zero_tail(scores: DataFrame, ix: Index, qids: DataFrame, k: int) -> DataFrame:
+    """``scores`` (qid, doc_id, score) with documents of score 0 for topics (qid) that fewer than ``k`` match: those with the smallest ids, which are among the 2k smallest of the collection."""
+    few = ix.lengths.select("doc_id").orderBy("doc_id").limit(2 * k)
+    rest = few.crossJoin(F.broadcast(qids.select("qid").distinct())).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    return scores.select("qid", "doc_id", "score").unionAll(rest.select("qid", "doc_id", F.lit(0.0).alias("score")))
+
+
+def cosine_tfidf(ix: Index, q: DataFrame, k: int | None = None) -> DataFrame:
+    """Cosine of (1 + ln tf) ln(N / df) vectors; terms in all documents vanish. With ``k``, every topic has k documents at least, those that share no term with score 0."""
     wd, wq = tfidf_weight(F.col("tf"), F.col("df"), F.col("n")), tfidf_weight(F.col("qtf"), F.col("df"), F.col("n"))
     qn = q.join(ix.terms, "term").crossJoin(F.broadcast(ix.corpus)).groupBy("qid").agg(F.sqrt(F.sum(wq * wq)).alias("qn"))
     dot = _matches(ix, q).groupBy("qid", "doc_id").agg(F.sum(wd * wq).alias("dot"))
     j = dot.join(tfidf_norms(ix), "doc_id").join(F.broadcast(qn), "qid")
-    return j.select("qid", "doc_id", F.when((F.col("norm") > 0) & (F.col("qn") > 0), F.col("dot") / (F.col("norm") * F.col("qn"))).otherwise(0.0).alias("score"))
+    scores = j.select("qid", "doc_id", F.when((F.col("norm") > 0) & (F.col("qn") > 0), F.col("dot") / (F.col("norm") * F.col("qn"))).otherwise(0.0).alias("score"))
+    return with_zero_tail(scores, ix, q, k) if k else scores
 
 
 def coordination(ix: Index, q: DataFrame) -> DataFrame:

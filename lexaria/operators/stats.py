@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexaria.operators.order import ordered
+from lexaria.session import broadcast_if_small
 
 
 def term_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -12,6 +13,11 @@ def term_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def without_terms(tf: DataFrame, words: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``tf`` without the terms of a list (term), of any size: a list of at most ``max_rows`` words is broadcast, a longer one shuffled. NULL words take nothing away."""
+    return tf.join(broadcast_if_small(words.select("term").where("term IS NOT NULL").distinct(), max_rows), "term", "left_anti").select(*tf.columns)
+
+
 def term_stats(tf: DataFrame) -> DataFrame:
     """(term, cf, df)."""
     return tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexaria.functions import text as T
@@ -9,7 +11,7 @@ from lexaria.functions.html import html_text_sql
 from lexaria.functions.stem import lancaster, porter, snowball_es, stem_column
 from lexaria.operators import charmodels, index, stats
 from lexaria.operators.stats import doc_stats, term_frequencies, term_stats
-from lexaria.session import spread, table
+from lexaria.session import ensure_checkpoint_dir, spread, stored, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +69,7 @@ def langid_accuracy(spark, d):
 
 def codec_roundtrip(spark, d):
     """Terms whose lists differ after compression and decompression, value by value, with and without gaps (0 each)."""
-    tf = tf_of(spark, d)
+    tf = stored(tf_of(spark, d))
     parts = []
     for with_gaps in (True, False):
         back = index.decompress(index.compress(tf, with_gaps), with_gaps)
@@ -112,6 +114,29 @@ def stemmer_comparison(spark, d):
     return t.agg(F.count(F.lit(1)).alias("terms"), F.countDistinct("p").alias("porter"), F.countDistinct("l").alias("lancaster"))
 
 
+def skip_lists(spark, d):
+    tf = stored(tf_of(spark, d))
+    return index.skip_lists(tf, term_stats(tf))
+
+
+def _stored_index(spark, d) -> index.StoredIndex:
+    """An index of the corpus in the shared folder, read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    names = docs(spark, d).select("doc_id", F.concat(F.lit("d"), "doc_id").alias("doc_name"))
+    return index.save_parts(stored(tf_of(spark, d)), names, path)
+
+
+def stored_lookup(spark, d):
+    """The list of one term of a stored index as ``name:id:frequency``."""
+    return index.posting_lines(_stored_index(spark, d), "vocabulario")
+
+
+def stored_skips(spark, d):
+    """Skip list, by document name, of the term with the smallest df from 50 to 100, from a stored index."""
+    ix = _stored_index(spark, d)
+    return index.skip_view(ix, ix.lexicon.where("df BETWEEN 50 AND 100").orderBy("df", "term").first()["term"])
+
+
 def rule_stats(words):
     return lambda spark, d: term_stats(term_frequencies(docs(spark, d), T.rule_tokens(F.col("text"), words)))
 
@@ -147,7 +172,7 @@ QUERIES = {
     "postings": tf_of,
     "term_ids": lambda s, d: index.first_seen_ids(docs(s, d), tokens()),
     "lexicon_offsets": lambda s, d: index.lexicon(_terms(s, d)),
-    "skip_lists": lambda s, d: index.skip_lists(tf_of(s, d), _terms(s, d)),
+    "skip_lists": skip_lists,
     "term_lookup": lambda s, d: index.posting_list(tf_of(s, d), "vocabulario"),
     "posting_size_hist": posting_size_hist,
     "index_overhead": index_overhead,
@@ -164,7 +189,10 @@ QUERIES = {
     "stem_lancaster": _stems(lancaster, "term"),
     "stem_snowball_es": _stems(snowball_es, "term"),
     "stemmer_comparison": stemmer_comparison,
-    "html_text": lambda s, d: table(s, d, "documento").where("texto IS NOT NULL").select("doc_id", F.length(F.regexp_replace(html_text_sql(F.col("texto")), r"\s+", "")).alias("n")).groupBy("doc_id").agg(F.max("n").cast("long").alias("n_chars")),
+    "html_text": lambda s, d: table(s, d, "documento").where("texto IS NOT NULL").select("doc_id", F.trim(F.regexp_replace(html_text_sql(F.col("texto")), r"[ \t\n\r]+", " ")).alias("t")).groupBy("doc_id").agg(F.max("t").alias("text")),
+    "stored_lookup": stored_lookup,
+    "stored_skips": stored_skips,
+    "stopword_table_stats": lambda s, d: term_stats(stats.without_terms(tf_of(s, d), s.createDataFrame([(w,) for w in T.STOP_WORDS], "term string"))),
 }
 
 TOKENS = rf"""regexp_extract_all(regexp_replace(regexp_replace(text, '{T.URL}', ' ', 'g'), '{T.EMAIL}', ' ', 'g'), '[{T.LETTERS}0-9]+')"""
@@ -250,7 +278,11 @@ SELECT *, round((posting_bytes + lexicon_bytes) / corpus_bytes, 6) AS overhead F
     "compression_savings": SIZES + """, s AS (SELECT CAST(sum(df) * 8 AS BIGINT) AS raw_bytes, CAST(sum(ids_bytes + freq_bytes) AS BIGINT) AS plain_bytes, CAST(sum(gap_bytes + freq_bytes) AS BIGINT) AS gap_bytes FROM sizes)
 SELECT *, round(100.0 * (1 - gap_bytes / plain_bytes), 4)::DOUBLE AS saving_percent FROM s""",
     "codec_roundtrip": TOK + "SELECT g AS with_gaps, (SELECT count(*) FROM tf) AS postings, 0::BIGINT AS different FROM (VALUES (true), (false)) v(g)",
-    "html_text": r"SELECT doc_id, max(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '\s+', '', 'g'))) AS n_chars FROM documento WHERE texto IS NOT NULL GROUP BY doc_id",
+    "html_text": r"SELECT doc_id, max(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS text FROM documento WHERE texto IS NOT NULL GROUP BY doc_id",
+    "stored_lookup": TOK + "SELECT concat('d', doc_id, ':', doc_id, ':', tf) AS value FROM tf WHERE term = 'vocabulario'",
+    "stored_skips": TOK + """, b AS (SELECT term, df FROM terms WHERE df BETWEEN 50 AND 100 ORDER BY df, term LIMIT 1), r AS (SELECT tf.doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, CAST(floor(sqrt(df)) AS BIGINT) AS k FROM tf JOIN b USING (term))
+SELECT concat('d', doc_id) AS doc_name, doc_id, rn * 8 AS byte_offset FROM r WHERE rn % k = 0""",
+    "stopword_table_stats": TOK + f"SELECT * FROM terms WHERE term NOT IN ({_STOP})",
 }
 SQL["heaps_fit"] = "WITH pairs AS (" + SQL["heaps_pairs"] + ") SELECT round(regr_slope(ln(v), ln(n)), 6) AS slope, round(regr_intercept(ln(v), ln(n)), 6) AS intercept FROM pairs WHERE n > 0 AND v > 0"
 SQL["langid_accuracy"] = "WITH " + _char_sql(1) + "," + _char_sql(2) + """

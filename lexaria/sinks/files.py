@@ -39,6 +39,12 @@ def json_dump(data: DataFrame, path: str) -> None:
     data.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
+def json_report(data: DataFrame, statistics: DataFrame, path: str) -> None:
+    """Lines of JSON ``{"data": ...}`` for each row of ``data``, and one ``{"statistics": ...}`` of the single row of ``statistics`` at the end of the last file."""
+    rows = data.select(F.lit(0).alias("o"), F.to_json(F.struct(F.struct("*").alias("data"))).alias("value")).unionAll(statistics.select(F.lit(1).alias("o"), F.to_json(F.struct(F.struct("*").alias("statistics"))).alias("value")))
+    rows.repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.text(path)
+
+
 def pair_file(pairs: DataFrame, path: str) -> None:
     """Lines ``n v``."""
     pairs.orderBy("n").select(F.concat_ws(" ", "n", "v").alias("value")).write.text(path)

@@ -66,6 +66,21 @@ def short_queries(spark: SparkSession, path: str, least: int = 2, most: int = 4)
     return spark.read.text(path).where(F.size(F.split(q, r"\s+")).between(least, most) & (q != "")).select(q.alias("query"))
 
 
+def topic_file(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, query) of a file of <top> records: the digits after <num>, and the title (up to the next tag), its white space squeezed. Records without a number are dropped."""
+    raw = spark.read.text(path, lineSep="</top>")
+    num = F.regexp_extract("value", r"(?is)<num>\D*(\d+)", 1)
+    title = F.regexp_replace(F.regexp_extract("value", r"(?is)<title>([^<]*)", 1), r"\s+", " ")
+    return raw.select(num.alias("n"), _strip(title).alias("query")).where("n <> ''").select(F.col("n").cast("int").alias("qid"), "query")
+
+
+def judgement_file(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, doc_name, rel) of lines ``qid iteration document relevance``; shorter lines are skipped, of repeated judgements the highest counts."""
+    p = F.split(_strip(F.col("value")), r"\s+")
+    rows = spark.read.text(path).where(F.size(p) >= 4).select(p[0].try_cast("int").alias("qid"), p[2].alias("doc_name"), p[3].try_cast("int").alias("rel"))
+    return rows.where("qid IS NOT NULL AND rel IS NOT NULL").groupBy("qid", "doc_name").agg(F.max("rel").alias("rel"))
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct words of a list, one a line, in lower case."""
     return spark.read.text(path).select(F.lower(_strip(F.col("value"))).alias("term")).where("term <> ''").distinct()

@@ -72,3 +72,25 @@ def test_stemmers():
     assert [stem.porter(w) for w in ("caresses", "ponies", "agreed", "hopping", "relational", "adjustable", "rate")] == ["caress", "poni", "agre", "hop", "relat", "adjust", "rate"]
     assert [stem.lancaster(w) for w in ("maximum", "presumably", "provision", "owed", "crying")] == ["maxim", "presum", "provid", "ow", "cry"]
     assert [stem.snowball_es(w) for w in ("bibliotecas", "rápidamente", "diciéndoles", "comunicaciones", "cheques")] == ["bibliotec", "rapid", "dic", "comun", "chequ"]
+
+
+def test_codecs_of_columns_equal_those_of_lists():
+    import random
+
+    import pyarrow as pa
+
+    from lexaria.functions import codecs as c
+
+    rnd = random.Random(6)
+    lists = [[rnd.randrange(1, 1 << rnd.randint(1, 62)) for _ in range(rnd.choice((0, 1, 3, 40)))] for _ in range(60)] + [None, [], [1] * 5000, [2**62 - 1, 127, 128, 1]]
+    col = pa.array(lists, pa.list_(pa.int64()))
+    for many in (col, col.slice(7, 50), col.slice(3, 0), col.slice(60, 4)):
+        plain = many.to_pylist()
+        v, g = c.vbyte_encode_lists(many), c.gamma_encode_lists(many)
+        assert v.to_pylist() == [None if x is None else c.vbyte_encode(x) for x in plain]
+        assert g.to_pylist() == [None if x is None else c.gamma_encode(x) for x in plain]
+        assert c.vbyte_decode_lists(v).to_pylist() == plain and c.gamma_decode_lists(g).to_pylist() == plain
+        rising = pa.array([None if x is None else c.gaps(sorted(x)) for x in plain], pa.list_(pa.int64()))
+        assert c.gap_decode_lists(c.vbyte_encode_lists(rising)).to_pylist() == [None if x is None else sorted(x) for x in plain]
+    assert c.vbyte_encode_lists(pa.array([[0]], pa.list_(pa.int64()))).to_pylist() == [b"\x80"]
+    assert c.vbyte_decode_lists(pa.array([b"\x01", b"\x82\x03"])).to_pylist() == [[], [2]]
