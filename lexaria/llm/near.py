@@ -39,7 +39,7 @@ class BallScheme:
     radius: int = 2
     shingle: int = 3
     seed: int = 20_240_301
-    signature: int = 140
+    signature: int = 256
 
     def recall(self, s: float) -> float:
         from math import comb
