@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Usual spellings of labels: ISO 639 codes and names in English, in the language itself and in Spanish (fixed values).
 LABELS = {
@@ -193,8 +193,10 @@ def _identify_batch(b: pa.RecordBatch, id_col: str, profiles: Profiles, min_lett
 
 
 def train_profiles(samples: DataFrame, lang_col: str, text_col: str, *, max_lines: int = 20_000) -> Profiles:
-    """Profiles from labelled lines: at most ``max_lines`` of them, in the order of their language and text, come to the driver (the bound of the fit)."""
-    rows = samples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col).orderBy(lang_col, text_col).limit(max_lines).collect()
+    """Profiles from labelled lines: at most ``max_lines`` of them come to the driver (the bound of the fit), as many of each language as there are, in the order of the hash of their text."""
+    lines = samples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    by_hash = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
+    rows = lines.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_lines).orderBy("n", "l").limit(max_lines).select("l", "t").collect()
     lines: dict[str, list[str]] = {}
     for lang, text in rows:
         lines.setdefault(lang, []).append(text)

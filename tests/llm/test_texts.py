@@ -187,6 +187,12 @@ def test_languages(spark):
         langid.train_profiles(spark.createDataFrame([], "l string, t string"), "l", "t")
 
 
+def test_sample_of_lines_has_every_language(spark):
+    rows = [(lang, f"{t} {i}") for lang, ts in LINES.items() for i, t in enumerate(ts * 3)]
+    df = spark.createDataFrame([*rows, (None, "x"), ("es", None)], "l string, t string")
+    assert sorted(langid.train_profiles(df, "l", "t", max_lines=6).langs) == ["de", "en", "es"]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("es-AR", "ES", "Español", " spa ", "en_GB", "?", "", None, "nl", "Deutsch")], "l string")
     assert [r[0] for r in df.select(langid.label_code(F.col("l"))).collect()] == ["es", "es", "es", "es", "en", None, None, None, None, "de"]
