@@ -95,8 +95,8 @@ def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
 def top_converged(spark: SparkSession, d: str) -> DataFrame:
     """The five pages with the highest PageRank, authority and hub scores, iterated until they settle."""
     nodes, edges = _graph(spark, d)
-    h = stored(graph.hits(nodes, edges, rounds=1000, tolerance=1e-7))
-    parts = [graph.ordering(graph.pagerank(nodes, edges, rounds=100, tolerance=1e-8), "score"), graph.ordering(h, "authority"), graph.ordering(h, "hub")]
+    h = stored(graph.hits(nodes, edges, rounds=1000, tolerance=1e-6))
+    parts = [graph.ordering(graph.pagerank(nodes, edges, rounds=100, tolerance=1e-6), "score"), graph.ordering(h, "authority"), graph.ordering(h, "hub")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
