@@ -12,6 +12,10 @@ from lexaria.operators.order import ordered
 from lexaria.session import checkpoint, stored, table
 
 
+#: Far below the sixth digit, by which the pages are ordered.
+SETTLED = 1e-10
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
     return graph.crawled(table(spark, d, "pagetask").select("id", "url", "outlinks", "depth", "visto_en"))
 
@@ -93,10 +97,10 @@ def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_converged(spark: SparkSession, d: str) -> DataFrame:
-    """The five pages with the highest PageRank, authority and hub scores, iterated until they settle."""
+    """The five pages with the highest PageRank, authority and hub scores, iterated until they settle: until their sum changes by less than SETTLED, however many pages share it."""
     nodes, edges = _graph(spark, d)
-    h = stored(graph.hits(nodes, edges, rounds=1000, tolerance=1e-6))
-    parts = [graph.ordering(graph.pagerank(nodes, edges, rounds=100, tolerance=1e-6), "score"), graph.ordering(h, "authority"), graph.ordering(h, "hub")]
+    h = stored(graph.hits(nodes, edges, rounds=1000, tolerance=SETTLED))
+    parts = [graph.ordering(graph.pagerank(nodes, edges, rounds=150, tolerance=SETTLED / max(1, nodes.count())), "score"), graph.ordering(h, "authority"), graph.ordering(h, "hub")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 

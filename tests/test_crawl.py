@@ -102,3 +102,51 @@ def test_convergence(spark):
     assert all(abs(long[i] - short[i]) < 1e-4 for i in long) and abs(sum(short.values()) - 1) < 1e-9
     h = {r["id"]: r["authority"] for r in graph.hits(nodes, edges, rounds=100, tolerance=1e-6).collect()}
     assert h[2] == pytest.approx(0.5, abs=1e-5) and h[3] == pytest.approx(0.5, abs=1e-5)
+
+
+def test_settling_takes_few_jobs(spark):
+    # two stars whose sizes differ little: some hundred rounds
+    edges = spark.createDataFrame([(100 + i, 1) for i in range(10)] + [(200 + i, 2) for i in range(11)], "src int, dst int")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    spark.sparkContext.setJobGroup("settling", "settling")
+    try:
+        h = {r["id"]: (r["hub"], r["authority"]) for r in graph.hits(nodes, edges, rounds=1000, tolerance=1e-9).collect()}
+        s = {r["id"]: r["score"] for r in graph.pagerank(nodes, edges, rounds=1000, tolerance=1e-12).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("settling"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert h[2][1] == pytest.approx(1, abs=1e-7) and h[1][1] == pytest.approx(0, abs=1e-7) and h[200][0] == pytest.approx(1 / 11)
+    assert s[1] / s[100] == pytest.approx(1 + 0.85 * 10) and s[2] / s[200] == pytest.approx(1 + 0.85 * 11)
+    assert jobs < 60
+
+
+def test_top_converged_is_settled_on_many_pages(spark, tmp_path):
+    from lexaria.plans.web_queries import top_converged
+
+    # page 1 links to itself and gains for some thirty rounds; page 2 has all its links in the first
+    links = {1: [1], **{i: [2] for i in range(3, 8)}}
+    rows = spark.range(1, 2001).select(F.col("id").cast("int").alias("id"), F.lit("http://h.example/").alias("url"), F.lit(0).alias("depth"), F.to_timestamp_ntz(F.lit("2024-01-01")).alias("visto_en"))
+    out = spark.createDataFrame(list(links.items()), "id int, outlinks array<int>")
+    rows.join(out, "id", "left").write.parquet(str(tmp_path / "pagetask.parquet"))
+    got = {(r["measure"], r["rank"]): r["id"] for r in top_converged(spark, str(tmp_path)).collect()}
+    assert [got["score", i] for i in range(1, 6)] == [1, 2, 3, 4, 5]
+    assert got["authority", 1] == 2 and [got["hub", i] for i in range(1, 6)] == [3, 4, 5, 6, 7]
+
+
+def test_rounds_in_one_task_are_those_of_joins(spark, monkeypatch):
+    rnd = random.Random(5)
+    ends = [*range(12), 90, None]  # 90 is no node
+    pairs = [(rnd.choice(ends), rnd.choice(ends)) for _ in range(60)]
+    edges = spark.createDataFrame(pairs + pairs[:5], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(15), 3, None]], "id int")
+    cases = [(nodes, edges), (nodes, edges.limit(0)), (nodes.limit(0), edges)]
+    run = lambda f, n, e, t: {r["id"]: tuple(r)[1:] for r in f(n, e, rounds=10, tolerance=t).collect()}
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    one = [[run(f, n, e, 1e-3) for f in (graph.pagerank, graph.hits)] for n, e in cases]
+    assert graph.hits(nodes, edges, tolerance=1e-3).schema["id"].dataType == nodes.schema["id"].dataType
+    monkeypatch.setattr(graph, "IN_ONE_TASK", -1)
+    monkeypatch.setattr(graph, "LOOK", 1)
+    for (n, e), mine in zip(cases, one):
+        for f, got in zip((graph.pagerank, graph.hits), mine):
+            want = run(f, n, e, 1e-3)
+            assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
