@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +24,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _gram_codes(buf: bytes, starts: np.ndarray, q: int) -> np.ndarray:
-    """64-bit code of the ``q`` bytes from each start; ``buf`` must go on for 8 bytes after the last gram."""
-    a = np.frombuffer(buf, dtype=np.uint8)
+def _gram_codes(words: np.ndarray, starts: np.ndarray, q: int) -> np.ndarray:
+    """64-bit code of the ``q`` word codes from each start."""
     code = np.zeros(len(starts), dtype=np.uint64)
-    for o in [*range(0, q - 8, 8), q - 8]:
-        x = np.zeros(len(starts), dtype=np.uint64)
-        for k in range(8):
-            x |= a[starts + (o + k)].astype(np.uint64) << np.uint64(8 * k)
-        code = _mix(code + x)
+    for k in range(q):
+        code = _mix(code + words[starts + k].astype(np.uint64) + np.uint64(1))
     return code
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: ``np.unique`` without counts hashes them, which takes much longer."""
+    x = np.sort(x)
+    return x[_begins(x)]
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values begins."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
 @dataclass
 class ItemIndex:
-    """Everything the scan needs of one block of items with the same gram length."""
+    """Everything the scan needs of one block of items."""
 
     ids: list
-    words: np.ndarray  # codes of each item's words, a row per item, filled up with -2
+    words: np.ndarray  # codes of all items' words, one item after the other
+    begins: np.ndarray  # where each item's words begin
     lengths: np.ndarray  # words of each item
-    run_of: np.ndarray  # number of the distinct run that begins at each word, filled up with -1
+    run_of: np.ndarray  # number within its item of the distinct run that begins at each word, -1 for its last words
     runs: np.ndarray  # distinct runs of each item
     need: np.ndarray  # of them, those that a leak must hold
-    least: np.ndarray  # grams that any run of the item holds at least: the bound of a band
     vocabulary: dict[str, int]
-    q: int
+    q: int  # words of a gram
+    least: int  # grams of any run: the bound of a band
     codes: np.ndarray  # distinct codes, sorted
     first: np.ndarray  # range of each code in the occurrence arrays
     item: np.ndarray
@@ -55,52 +64,35 @@ class ItemIndex:
     filter: np.ndarray
 
 
-def _filled(rows: list[np.ndarray], value: int) -> np.ndarray:
-    out = np.full((len(rows), max(map(len, rows))), value, dtype=np.int32)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out
-
-
-def build_index(items: Sequence[tuple], n: int, share: float) -> list[ItemIndex]:
-    """Indexes of the items by gram length: the longest one, up to 32 bytes, that no run of ``n`` words of the item is shorter than."""
-    groups: dict[int, list] = {}
+def build_index(items: Sequence[tuple], n: int, share: float) -> ItemIndex | None:
+    """Index of the items that have runs of ``n`` words, by their grams of ``n - 1`` words (one word for runs of one); None if no item has any."""
+    q = max(1, n - 1)
+    ids, words, run_of, runs, lengths = [], [], [], [], []
+    vocabulary: dict[str, int] = {}
     for item_id, text in items:
         w = plain_words(text or "")
         if len(w) < n:
             continue
-        least = min(len(" ".join(w[i : i + n]).encode()) for i in range(len(w) - n + 1))
-        groups.setdefault(max(q for q in (9, 12, 16, 20, 24, 32) if q <= max(9, least)), []).append((item_id, w))
-    out = []
-    for q, own in sorted(groups.items()):
-        codes, item, pos, texts, run_of, runs, need, bound = [], [], [], [], [], [], [], []
-        vocabulary: dict[str, int] = {}
-        for k, (_, w) in enumerate(own):
-            numbers: dict[tuple, int] = {}
-            run_of.append(np.array([numbers.setdefault(tuple(w[i : i + n]), len(numbers)) for i in range(len(w) - n + 1)]))
-            runs.append(len(numbers))
-            need.append(max(1, int(np.ceil(share * len(numbers) - 1e-9))))
-            texts.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], dtype=np.int32))
-            buf = " ".join(w).encode()
-            lengths = np.array([len(x.encode()) + 1 for x in w])
-            starts = np.cumsum(lengths) - lengths
-            ends = starts + lengths - 1
-            # grams that begin at a word of the run and end within it
-            inside = [max(1, int(np.searchsorted(starts[i : i + n], ends[i + n - 1] - q, side="right"))) for i in range(len(w) - n + 1)]
-            bound.append(min(inside))
-            first = np.flatnonzero(starts + q <= len(buf)) if len(buf) >= q else np.zeros(1, dtype=np.int64)
-            codes.append(_gram_codes(buf + b"\n" * (q + 8), starts[first], q))
-            item.append(np.full(len(first), k))
-            pos.append(first)
-        codes, item, pos = np.concatenate(codes), np.concatenate(item), np.concatenate(pos)
-        order = np.argsort(codes, kind="stable")
-        distinct, first = np.unique(codes[order], return_index=True)
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[(distinct >> np.uint64(44)).astype(np.int64)] = True
-        texts, run_of = _filled(texts, -2), _filled(run_of, -1)
-        sizes = np.array([len(w) for _, w in own])
-        out.append(ItemIndex([x[0] for x in own], texts, sizes, run_of, np.array(runs), np.array(need), np.array(bound), vocabulary, q, distinct, np.r_[first, len(order)], item[order], pos[order], bits))
-    return out
+        numbers: dict[tuple, int] = {}
+        run_of.append(np.array([numbers.setdefault(tuple(w[i : i + n]), len(numbers)) for i in range(len(w) - n + 1)] + [-1] * (n - 1), dtype=np.int32))
+        words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], dtype=np.int32))
+        ids.append(item_id)
+        runs.append(len(numbers))
+        lengths.append(len(w))
+    if not ids:
+        return None
+    words, run_of, runs, lengths = np.concatenate(words), np.concatenate(run_of), np.array(runs), np.array(lengths)
+    begins = np.cumsum(lengths) - lengths
+    item = np.repeat(np.arange(len(ids)), lengths - q + 1)
+    pos = np.arange(len(item)) - np.repeat(np.cumsum(lengths - q + 1) - (lengths - q + 1), lengths - q + 1)
+    codes = _gram_codes(words, begins[item] + pos, q)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = _begins(codes)
+    bits = np.zeros(1 << 20, dtype=bool)
+    bits[(codes[first] >> np.uint64(44)).astype(np.int64)] = True
+    need = np.maximum(1, np.ceil(share * runs - 1e-9).astype(np.int64))
+    return ItemIndex(ids, words, begins, lengths, run_of, runs, need, vocabulary, q, n - q + 1, codes[first], np.r_[first, len(order)], item[order], pos[order], bits)
 
 
 def banded_alignment(items: np.ndarray, lengths: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lo: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,116 +103,146 @@ def banded_alignment(items: np.ndarray, lengths: np.ndarray, words: np.ndarray,
     position whether the run of ``n`` words from it stands unchanged on one of the diagonals.
     """
     count, most = items.shape
-    steps = np.arange(width, dtype=np.int32)
-    ends = (lo[:, None] + steps).astype(np.int32)
-    size = sizes.astype(np.int32)[:, None]
-    equal = np.empty((count, most, width), dtype=bool)
-    big = np.int32(1 << 20)
-    row = np.where((ends >= 0) & (ends <= size), 0, big).astype(np.int32)
-    beyond = np.full((count, 1), big, dtype=np.int32)
+    kind = np.int16 if most + width < 8000 else np.int32
+    big = kind(np.iinfo(kind).max // 2)
+    # a column per item, so that each step works on whole rows; the words under diagonals 0, 1, ... at item position i are rows i, i + 1, ...
+    ends = lo + np.arange(most + width)[:, None]
+    inside = (ends >= 0) & (ends < sizes)
+    under = np.where(inside, words[np.where(inside, starts + ends, 0)], -3)
+    beyond = np.where((ends >= 0) & (ends <= sizes), kind(0), big)
+    steps = np.arange(width, dtype=kind)[:, None]
+    equal = np.empty((most, width, count), dtype=bool)
+    edits = np.zeros(count, dtype=np.int64)
+    row = beyond[:width]
+    last = np.full((1, count), big, dtype=kind)
     for i in range(most):
-        inside = (ends >= 0) & (ends < size)
-        equal[:, i] = inside & (words[np.where(inside, starts[:, None] + ends, 0)] == items[:, i : i + 1])
-        ends += 1
-        new = np.minimum(np.where(inside, row + ~equal[:, i], big), np.concatenate([row[:, 1:], beyond], axis=1) + 1)
-        new = np.minimum.accumulate(new - steps, axis=1) + steps
-        new[(ends < 0) | (ends > size)] = big
-        row = np.where((i < lengths)[:, None], new, row)
+        np.equal(under[i : i + width], items[:, i], out=equal[i])
+        new = np.minimum(row + ~equal[i], np.concatenate([row[1:], last]) + kind(1))
+        new = np.minimum.accumulate(new - steps, axis=0) + steps
+        row = np.minimum(np.maximum(new, beyond[i + 1 : i + 1 + width]), big)
+        ended = lengths == i + 1
+        if ended.any():
+            edits[ended] = row[:, ended].min(axis=0)
     held = np.zeros((count, max(0, most - n + 1)), dtype=bool)
     if most >= n:
-        whole = equal[:, : most - n + 1]
+        whole = equal[: most - n + 1]
         for k in range(1, n):
-            whole = whole & equal[:, k : most - n + 1 + k]
-        held = whole.any(axis=2)
-    return np.minimum(row.min(axis=1), lengths), held
+            whole = whole & equal[k : most - n + 1 + k]
+        held = whole.any(axis=1).T
+    return np.minimum(edits, lengths), held
+
 
+#: Cells (bands, item positions, diagonals) that are aligned at once, unless a single band has more.
+ALIGNED = 2_000_000
+#: Characters of text that are scanned at once, unless a single document has more, so that the arrays stay in the caches.
+SCANNED = 1_000_000
 
-#: Bands that are aligned at once.
-ALIGNED = 2000
 
+def _align(ix: ItemIndex, i: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lo: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, at_band, at_pos) of items ``i`` on their bands: the edits of each, and the bands and item positions of the runs that are held. Items of like length are aligned together."""
+    edits, bands, places = np.zeros(len(i), dtype=np.int64), [], []
+    order = np.argsort(-ix.lengths[i], kind="stable")
+    done = 0
+    while done < len(order):
+        most = int(ix.lengths[i[order[done]]])
+        x = order[done : done + max(1, ALIGNED // (most * width))]
+        done += len(x)
+        own = ix.lengths[i[x]]
+        at = np.arange(most)
+        rows = np.where(at < own[:, None], ix.words[np.minimum(ix.begins[i[x]][:, None] + at, len(ix.words) - 1)], -2)
+        edits[x], held = banded_alignment(rows, own, words, starts[x], sizes[x], lo[x], width, n)
+        b, p = np.nonzero(held)
+        bands.append(x[b])
+        places.append(p)
+    return edits, np.concatenate(bands), np.concatenate(places)
 
-def _scan(ids: list, texts: list, indexes: list[ItemIndex], n: int, band: int):
+
+def _scan(ids: list, texts: list, ix: ItemIndex | None, n: int, band: int):
     """(id, item_id, runs, shared, edits) of all documents of a batch with bands that align well enough."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SCANNED or k + 1 == len(texts):
+            if ix is not None:
+                yield from _scan_some(ids[first : k + 1], texts[first : k + 1], ix, n, band)
+            first, size = k + 1, 0
+
+
+def _scan_some(ids: list, texts: list, ix: ItemIndex, n: int, band: int):
+    """The rows of ``_scan`` for some of its documents."""
     lists = [plain_words(t) if t else [] for t in texts]
-    parts, doc_start, at = [], [], 0
-    for w in lists:
-        doc_start.append(at)
-        p = " ".join(w).encode() + b"\n"
-        parts.append(p)
-        at += len(p)
-    buf = b"".join(parts) + b"\n" * 48
-    a = np.frombuffer(buf, dtype=np.uint8)[:at]
-    if not at or not indexes:
+    sizes = np.array([len(w) for w in lists])
+    doc_start = np.cumsum(sizes) - sizes
+    # words that no item has are -1
+    words = np.fromiter(map(ix.vocabulary.get, chain.from_iterable(lists), repeat(-1)), dtype=np.int32, count=int(sizes.sum()))
+    # grams of items' words only; those over the end of a document are left out below
+    known = words >= 0
+    starts = known[: max(0, len(words) - ix.q + 1)].copy()
+    for k in range(1, ix.q):
+        starts &= known[k : k + len(starts)]
+    starts = np.flatnonzero(starts)
+    codes = _gram_codes(words, starts, ix.q)
+    maybe = np.flatnonzero(ix.filter[(codes >> np.uint64(44)).astype(np.int64)])
+    starts, codes = starts[maybe], codes[maybe]
+    k = np.searchsorted(ix.codes, codes)
+    k[k == len(ix.codes)] = 0
+    doc = np.searchsorted(doc_start, starts, side="right") - 1
+    hit = (ix.codes[k] == codes) & (starts + ix.q <= doc_start[doc] + sizes[doc])
+    starts, k, doc = starts[hit], k[hit], doc[hit]
+    items, places = len(ix.ids), int(ix.lengths.max())
+    times = ix.first[k + 1] - ix.first[k]
+    occ = np.repeat(ix.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    pair = np.repeat(doc * items, times) + ix.item[occ]
+    # most pairs have fewer hits than they need runs
+    by_pair = np.argsort(pair, kind="stable")
+    begins = _begins(pair[by_pair])
+    hits = np.diff(np.r_[begins, len(by_pair)])
+    enough = by_pair[np.repeat(hits >= ix.need[pair[by_pair[begins]] % items], hits)]
+    if not len(enough):
         return
-    doc_start = np.array(doc_start)
-    starts = np.r_[0, np.flatnonzero((a == 32) | (a == 10))[:-1] + 1]
-    first_word = np.searchsorted(starts, doc_start)
+    pair, pos = pair[enough], ix.pos[occ[enough]]
+    doc = pair // items
+    word = np.repeat(starts, times)[enough]
     half = max(1, band // 2)
     # bands are numbered from the lowest that a hit can fall into
-    lowest, bands_of_all = -(max(ix.words.shape[1] for ix in indexes) // half) - 2, max(map(len, lists)) // half + max(ix.words.shape[1] for ix in indexes) // half + 4
-    for ix in indexes:
-        codes = _gram_codes(buf, starts, ix.q)
-        maybe = np.flatnonzero(ix.filter[(codes >> np.uint64(44)).astype(np.int64)])
-        k = np.searchsorted(ix.codes, codes[maybe])
-        k[k == len(ix.codes)] = 0
-        hit = ix.codes[k] == codes[maybe]
-        maybe, k = maybe[hit], k[hit]
-        if not len(maybe):
-            continue
-        times = ix.first[k + 1] - ix.first[k]
-        occ = np.repeat(ix.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        word = np.repeat(maybe, times)
-        doc = np.searchsorted(doc_start, starts[word], side="right") - 1
-        item, pos = ix.item[occ], ix.pos[occ]
-        items, places = len(ix.ids), ix.words.shape[1]
-        pair = doc * items + item
-        step = (word - first_word[doc] - pos) // half - lowest
-        # overlapping bands: each hit counts in the band of two half widths that begins with its own and in the one before; an item position counts once in a band
-        key = np.unique(np.r_[(pair * bands_of_all + step) * places + pos, (pair * bands_of_all + step - 1) * places + pos])
-        of_hit = key // places
-        first = np.flatnonzero(np.r_[True, of_hit[1:] != of_hit[:-1]])
-        count = np.diff(np.r_[first, len(key)])
-        bands = of_hit[first]
-        keep = count >= ix.least[bands // bands_of_all % items]
-        held_by = key[np.repeat(keep, count)]
-        bands = bands[keep]
-        # the positions that the kept bands of a pair hold together: each contained run gives one at least
-        pairs, hits = np.unique(np.unique(held_by // places // bands_of_all * places + held_by % places) // places, return_counts=True)
-        pairs = pairs[hits >= ix.need[pairs % items]]
-        bands = bands[np.isin(bands // bands_of_all, pairs)]
-        if not len(bands):
-            continue
-        of_pair, lo = bands // bands_of_all, (bands % bands_of_all + lowest) * half
-        d, i = of_pair // items, of_pair % items
-        docs, d_at = np.unique(d, return_inverse=True)
-        coded = np.array([ix.vocabulary.get(x, -1) for k in docs.tolist() for x in lists[k]], dtype=np.int32)
-        sizes = np.array([len(lists[k]) for k in docs.tolist()])
-        begins = np.cumsum(sizes) - sizes
-        aligned = [
-            banded_alignment(ix.words[i[x]], ix.lengths[i[x]], coded, begins[d_at[x]], sizes[d_at[x]], lo[x], 2 * half, n)
-            for x in (slice(k, k + ALIGNED) for k in range(0, len(bands), ALIGNED))
-        ]
-        edits, held = np.concatenate([e for e, _ in aligned]), np.concatenate([h for _, h in aligned])
-        # the distinct runs that a pair's bands hold together
-        at_band, at_pos = np.nonzero(held)
-        number = np.unique(of_pair[at_band] * places + ix.run_of[i[at_band], at_pos])
-        pairs, shared = np.unique(number // places, return_counts=True)
-        fine = shared >= ix.need[pairs % items]
-        pairs, shared = pairs[fine], shared[fine]
-        least = np.minimum.reduceat(edits, np.flatnonzero(np.r_[True, of_pair[1:] != of_pair[:-1]]))
-        rank = np.searchsorted(np.unique(of_pair), pairs)
-        for p, s, e in zip(pairs.tolist(), shared.tolist(), least[rank].tolist()):
-            yield ids[p // items], ix.ids[p % items], int(ix.runs[p % items]), s, int(e)
+    lowest, bands_of_all = -(places // half) - 2, int(sizes.max()) // half + places // half + 4
+    step = (word - doc_start[doc] - pos) // half - lowest
+    # overlapping bands: each hit counts in the band of two half widths that begins with its own and in the one before; an item position counts once in a band
+    key = _distinct(np.r_[(pair * bands_of_all + step) * places + pos, (pair * bands_of_all + step - 1) * places + pos])
+    of_hit = key // places
+    begins = _begins(of_hit)
+    count = np.diff(np.r_[begins, len(key)])
+    bands, keep = of_hit[begins], count >= ix.least
+    held_by = key[np.repeat(keep, count)]
+    bands = bands[keep]
+    # the positions that the kept bands of a pair hold together: each contained run gives one at least
+    pairs, hits = np.unique(_distinct(held_by // places // bands_of_all * places + held_by % places) // places, return_counts=True)
+    pairs = pairs[hits >= ix.need[pairs % items]]
+    bands = bands[np.isin(bands // bands_of_all, pairs)]
+    if not len(bands):
+        return
+    of_pair, lo = bands // bands_of_all, (bands % bands_of_all + lowest) * half
+    d, i = of_pair // items, of_pair % items
+    edits, at_band, at_pos = _align(ix, i, words, doc_start[d], sizes[d], lo, 2 * half, n)
+    # the distinct runs that a pair's bands hold together
+    number = _distinct(of_pair[at_band] * places + ix.run_of[ix.begins[i[at_band]] + at_pos])
+    pairs, shared = np.unique(number // places, return_counts=True)
+    fine = shared >= ix.need[pairs % items]
+    pairs, shared = pairs[fine], shared[fine]
+    begins = _begins(of_pair)
+    least = np.minimum.reduceat(edits, begins)[np.searchsorted(of_pair[begins], pairs)]
+    for p, s, e in zip(pairs.tolist(), shared.tolist(), least.tolist()):
+        yield ids[p // items], ix.ids[p % items], int(ix.runs[p % items]), s, int(e)
 
 
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, n: int = 5, share: float = 0.4, band: int = BAND) -> DataFrame:
     """(id, item, runs, shared, edits): documents that contain at least ``share`` of an item's distinct runs of ``n`` words.
 
-    Texts are compared without accents, case and punctuation. Q-gram lemma filter: character grams that begin at words and are no longer than any of the item's runs are
-    looked up, and counted over overlapping bands of ``band`` diagonals. A band that holds a whole run of the item holds at least the fewest grams that any of its runs has;
-    bands below that are dropped, and pairs whose kept bands together hold fewer item positions than the runs they would need, so nothing is lost. The kept bands are
+    Texts are compared without accents, case and punctuation. Q-gram lemma filter: grams of ``n - 1`` words are
+    looked up, and counted over overlapping bands of ``band`` diagonals. A band that holds a whole run of the item holds both of its grams;
+    bands below that are dropped, and pairs whose hits, or the item positions of whose kept bands together, are fewer than the runs they would need, so nothing is lost. The kept bands are
     verified by banded alignment in words, which gives ``shared``, the item's distinct runs that stand unchanged under a band, and ``edits``, the word edits that the whole
-    item needs to lie under the best band; pairs with too few runs are dropped.
+    item needs to lie under the best kept band; pairs with too few runs are dropped.
 
     The items are the stated query set: they are read in blocks of 20,000 by id and each block is matched against all documents where these are read, without
     a shuffle, so an item that leaks into a third of the corpus, or a source with a third of it, makes no task longer. NULL texts and items with fewer than ``n`` words match nothing; items with equal
@@ -231,10 +253,10 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     names = [id_col, item_col, "runs", "shared", "edits"]
     source = docs.select(F.col(id_col), F.col(text_col))
 
-    def matcher(indexes: list[ItemIndex]):
+    def matcher(index: ItemIndex | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = list(_scan(b.column(0).to_pylist(), b.column(1).to_pylist(), indexes, n, band))
+                rows = list(_scan(b.column(0).to_pylist(), b.column(1).to_pylist(), index, n, band))
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.record_batch([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_type), *(pa.array(c, pa.int32()) for c in cols[2:])], names=names)
 

@@ -163,6 +163,52 @@ def test_leaks_come_from_the_alignment(spark, monkeypatch):
     assert not list(leaks._scan([1], [docs[0][1]], leaks.build_index([(7, item)], 5, 0.4), 5, leaks.BAND))
 
 
+def _aligned_shapes(monkeypatch):
+    shapes, align = [], leaks.banded_alignment
+    monkeypatch.setattr(leaks, "banded_alignment", lambda items, *a: shapes.append(items.shape) or align(items, *a))
+    return shapes
+
+
+def test_leaks_align_only_where_runs_can_stand(monkeypatch):
+    # a short run among long words; the first document has most of the words in place, but no five in a row
+    w = [f"palabra{k:04d}" for k in range(40)]
+    w[20:25] = "abcde"
+    item = " ".join(w)
+    shapes = _aligned_shapes(monkeypatch)
+    ix = leaks.build_index([(7, item)], 5, 0.4)
+    assert not list(leaks._scan([1], [" ".join("X" if k % 3 == 2 else x for k, x in enumerate(w))], ix, 5, leaks.BAND)) and not shapes
+    assert list(leaks._scan([2], ["y z " + item], ix, 5, leaks.BAND)) == [(2, 7, 36, 36, 0)] and shapes
+
+
+def test_leaks_align_items_at_their_own_length(monkeypatch):
+    items = [(1, "uno dos tres cuatro cinco seis siete ocho nueve diez once doce"), (2, " ".join(f"{k:04d}" for k in range(2000)))]
+    shapes = _aligned_shapes(monkeypatch)
+    docs = [f"{k} " + items[0][1] for k in range(30)]
+    rows = list(leaks._scan(list(range(30)), docs, leaks.build_index(items, 5, 0.4), 5, leaks.BAND))
+    assert rows == [(k, 1, 8, 8, 0) for k in range(30)] and max(most for _, most in shapes) == 12
+    assert [r[:4] for r in leaks._scan([9], [items[1][1] + " fin"], leaks.build_index(items, 5, 0.4), 5, leaks.BAND)] == [(9, 2, 1996, 1996)]
+
+
+def test_leaks_of_any_run_length_in_slices(monkeypatch):
+    monkeypatch.setattr(leaks, "SCANNED", 200)
+    monkeypatch.setattr(leaks, "ALIGNED", 2000)
+    rnd = random.Random(8)
+    items = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30)))) for i in range(30)]
+    docs = [(d, None if d % 17 == 0 else " ".join(rnd.choice("abcx") for _ in range(rnd.choice((0, 3, 40, 90))))) for d in range(60)]
+    # runs that only stand over the end of a document are none
+    docs += [(100, "p q r"), (101, "s t u"), (102, "p q r s t u")]
+    items += [(100, "p q r s t u")]
+    for n in (1, 2, 3, 5):
+
+        def runs(t):
+            w = plain_words(t or "")
+            return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+        want = sorted((d, i, len(runs(u)), len(runs(t) & runs(u))) for d, t in docs for i, u in items if runs(u) and len(runs(t) & runs(u)) >= 0.4 * len(runs(u)))
+        got = sorted(r[:4] for r in leaks._scan([d for d, _ in docs], [t for _, t in docs], leaks.build_index(items, n, 0.4), n, leaks.BAND))
+        assert got == want and len(want) > 5 and (n < 5 or [d for d, i, *_ in got if i == 100] == [102])
+
+
 # languages
 
 LINES = {
